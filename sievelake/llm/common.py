@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +48,49 @@ def words_of(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Bytes that A-Z are lowered in.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+SLICE = 1 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about `limit` bytes of text at most, so that a task's memory doesn't follow the batch size; a longer text is alone."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = total = 0
+        for i, n in enumerate(size.tolist()):
+            if i > start and total + n > limit:
+                yield b.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if start < b.num_rows:
+            yield b.slice(start)
+
+
+def as_bytes(column: pa.Array) -> list[bytes]:
+    """The texts as UTF-8; null is empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of `edges` (a, b: long), root the smallest node of its component.
+
+    Alternating large-star and small-star steps, each a pre-aggregated minimum
+    and a join on the node, so that a hub's edges are never gathered in one
+    place and its join can be split. The loop ends when the edges stay the same.
+    """
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = now
