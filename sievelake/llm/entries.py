@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import quality, simhash, sql
+from sievelake.llm import lines, quality, simhash, sql
 from sievelake.llm.common import table
 
 
@@ -18,14 +18,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash,
         op2_quality_rules,
+        op3_line_dedup,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": sql.OP2,
+    "op3_line_dedup": sql.OP3,
 }
