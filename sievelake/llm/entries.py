@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import lines, quality, simhash, sql
+from sievelake.llm import decontaminate, lines, quality, simhash, sql
 from sievelake.llm.common import table
 
 
@@ -22,16 +22,22 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash,
         op2_quality_rules,
         op3_line_dedup,
+        op4_decontamination,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": sql.OP2,
     "op3_line_dedup": sql.OP3,
+    "op4_decontamination": sql.OP4,
 }

@@ -67,3 +67,28 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count_if(gone):
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY rid
 """
+
+OP4 = r"""
+WITH low AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS g
+  FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM item WHERE len(ws) > 0)
+), sizes AS (
+  SELECT DISTINCT n FROM win
+), dg AS (
+  SELECT rid, n, i, array_to_string(ws[i : i + n - 1], ' ') AS g
+  FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM low, sizes WHERE len(ws) >= n)
+), hit AS (
+  SELECT rid, item_id, i, dg.n FROM dg JOIN win ON dg.n = win.n AND dg.g = win.g
+), w AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid
+), its AS (
+  SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hit) GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN w USING (rid) LEFT JOIN its USING (rid)
+"""
