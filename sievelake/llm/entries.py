@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import decontaminate, lines, packing, quality, simhash, sql
+from sievelake.llm import decontaminate, lines, packing, quality, secrets, simhash, sql
 from sievelake.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op3_line_dedup,
         op4_decontamination,
+        op8_secret_scan,
         op9_packing,
     )
 }
@@ -45,4 +50,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": sql.OP2,
     "op3_line_dedup": sql.OP3,
     "op4_decontamination": sql.OP4,
+    "op8_secret_scan": sql.OP8,
 }

@@ -92,3 +92,46 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM low LEFT JOIN w USING (rid) LEFT JOIN its USING (rid)
 """
+
+OP8 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), p(kind, ord, pat, grp, least) AS (
+  VALUES ('assign', 0, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+         ('access', 1, 'AKIA[A-Z0-9]+', 0, 20), ('hex', 2, '[0-9a-f]+', 0, 24), ('word', 3, '[A-Za-z0-9+/_=-]{20,}', 0, 20)
+), m AS (
+  SELECT rid, 0 AS ord, 'assign' AS kind, regexp_extract_all(t, (SELECT pat FROM p WHERE ord = 0), 0) AS ms, regexp_extract_all(t, (SELECT pat FROM p WHERE ord = 0), 2) AS gs, string_split_regex(t, (SELECT pat FROM p WHERE ord = 0)) AS gaps FROM d
+  UNION ALL
+  SELECT rid, 1, 'access', regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL
+  SELECT rid, 2, 'hex', regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM d
+  UNION ALL
+  SELECT rid, 3, 'entropy', regexp_extract_all(t, '[A-Za-z0-9+/_=-]{20,}'), regexp_extract_all(t, '[A-Za-z0-9+/_=-]{20,}'), string_split_regex(t, '[A-Za-z0-9+/_=-]{20,}') FROM d
+), x AS (
+  SELECT rid, ord, kind, unnest(ms) AS w, unnest(gs) AS g, unnest(gaps[1:len(ms)]) AS gap, generate_subscripts(ms, 1) AS k FROM m
+), y AS (
+  SELECT rid, ord, kind, w, g, sum(length(gap) + length(w)) OVER (PARTITION BY rid, ord ORDER BY k) - length(w) AS s FROM x
+), base AS (
+  SELECT rid, ord, kind, s::INT AS s, (s + length(w))::INT AS e FROM y WHERE length(g) >= (CASE ord WHEN 0 THEN 6 WHEN 1 THEN 20 WHEN 2 THEN 24 END)
+), cand AS (
+  SELECT rid, w, s::INT AS s, CASE WHEN regexp_full_match(w, '[0-9a-fA-F]+') THEN 2.9 ELSE 3.7 END AS bits FROM y WHERE ord = 3 AND regexp_matches(w, '[0-9]') AND NOT regexp_matches(w, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') AND NOT regexp_matches(w, '(?i)example|changeme|placeholder|your_|xxxx|dummy') AND NOT regexp_matches(w, '(?i)^(sha1|sha256|sha384|sha512|md5)[-=]') AND NOT regexp_matches(w, '^[/_=-]*([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})([/_=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=-]*$')
+), win AS (
+  SELECT rid, w, s, bits, unnest(range(0, length(w) - 19)) AS i FROM cand
+), ch AS (
+  SELECT rid, s, i, bits, c, count(*) AS n FROM (SELECT rid, s, i, bits, unnest(string_split(substr(w, i + 1, 20), '')) AS c FROM win) GROUP BY ALL
+), ent AS (
+  SELECT rid, s, i FROM ch GROUP BY rid, s, i, bits HAVING -sum(n / 20 * log2(n / 20)) >= bits
+), extra AS (
+  SELECT rid, 3 AS ord, 'entropy' AS kind, (s + min(i))::INT AS s, (s + max(i) + 20)::INT AS e FROM ent GROUP BY rid, s
+), spans AS (
+  SELECT * FROM base
+  UNION ALL
+  SELECT * FROM extra AS x WHERE NOT EXISTS (SELECT 1 FROM base AS b WHERE b.rid = x.rid AND b.s < x.e AND x.s < b.e)
+), a AS (
+  SELECT rid, count_if(ord = 0) AS na, count_if(ord = 1) AS nk, count_if(ord = 2) AS nh,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord < 3) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS x
+  FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(na, 0)::BIGINT AS n_assign, coalesce(nk, 0)::BIGINT AS n_access, coalesce(nh, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(x, '') AS spans
+FROM d LEFT JOIN a USING (rid)
+"""
