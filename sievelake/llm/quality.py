@@ -128,6 +128,10 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
 
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The documents that pass, with all their columns (in a struct meanwhile, so that no name clashes); one narrow scan."""
+    """The documents that pass, with all their columns (in a struct meanwhile, so that no name clashes); one narrow scan.
+
+    Testing a row number too keeps the filter above the projections: pushed below them, it would hold every counted column's
+    expression once for each rule.
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__sl_doc"), F.col(text_col).alias("__sl_in"))
-    return score(packed, rules, "__sl_doc", "__sl_in").where("kept").select("__sl_doc.*")
+    return score(packed, rules, "__sl_doc", "__sl_in").withColumn("__sl_row", F.monotonically_increasing_id()).where("kept and __sl_row >= 0").select("__sl_doc.*")
