@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import decontaminate, lines, packing, quality, secrets, simhash, sql
+from sievelake.llm import decontaminate, lines, packing, quality, secrets, simhash, sql, warc
 from sievelake.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op3_line_dedup,
         op4_decontamination,
+        op5_warc,
         op8_secret_scan,
         op9_packing,
     )
@@ -50,5 +55,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": sql.OP2,
     "op3_line_dedup": sql.OP3,
     "op4_decontamination": sql.OP4,
+    "op5_warc": sql.OP5,
     "op8_secret_scan": sql.OP8,
 }
