@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import decontaminate, lines, packing, quality, secrets, simhash, sql, warc
+from sievelake.llm import decontaminate, langid, lines, packing, quality, secrets, simhash, sql, warc
 from sievelake.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_line_dedup,
         op4_decontamination,
         op5_warc,
+        op6_language_id,
         op8_secret_scan,
         op9_packing,
     )
