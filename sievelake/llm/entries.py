@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import decontaminate, langid, lines, packing, quality, secrets, simhash, sql, warc
+from sievelake.llm import decontaminate, langid, lines, packing, quality, secrets, simhash, sql, toxicity, warc
 from sievelake.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_language_id,
         op8_secret_scan,
         op9_packing,
+        op10_toxicity,
     )
 }
 
