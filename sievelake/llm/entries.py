@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import decontaminate, langid, lines, packing, quality, secrets, simhash, sql, toxicity, warc
+from sievelake.llm import decontaminate, html, langid, lines, packing, quality, secrets, simhash, sql, toxicity, warc
 from sievelake.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_decontamination,
         op5_warc,
         op6_language_id,
+        op7_html_extraction,
         op8_secret_scan,
         op9_packing,
         op10_toxicity,
