@@ -273,11 +273,11 @@ def render(page: str) -> str:
     flows, tables, lists = [Flow()], [], []
     hide = 0  # depth inside a hidden element
     pre = 0
-    details: list[list] = []
+    details: list[list] = []  # of each open one: whether it is closed to the reader, and how deep inside its children we are
     for kind, x, attrs in events(page):
         flow = flows[-1]
         if kind == "text":
-            if hide:
+            if hide or details and details[-1][0] and not details[-1][1]:
                 continue
             if pre:
                 flow.buf.append(x)
@@ -292,7 +292,6 @@ def render(page: str) -> str:
                 continue
             if details and details[-1][0] and x != "summary" and details[-1][1] == 0:
                 hide += 1
-                details[-1][2] += 1
                 continue
             if details:
                 details[-1][1] += 1
@@ -338,7 +337,7 @@ def render(page: str) -> str:
             elif x in BLOCK:
                 flow.rest(2 if x in SPACED else 1)
             if x == "details":
-                details.append(["open" not in attrs, 0, 0])
+                details.append(["open" not in attrs, 0])
             continue
         # an end
         if hide:

@@ -45,6 +45,7 @@ RULES = (
     Rule("symbols_per_word", "n_symbols / n_words", None, 0.25),
     Rule("stop_words", "n_stop_words / n_words", 0.02, None, 40),
     Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.6),
+    Rule("stuttering", "n_adjacent / n_words", None, 0.3),
     Rule("upper_case_words", "n_upper_words / n_words", None, 0.6, 20),
 )
 
@@ -68,6 +69,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.size(F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size(F.filter(w, lambda x: (F.upper(x) == x) & (F.lower(x) != x) & (F.length(x) > 1))).cast("long").alias("n_upper_words"),
+        F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))).cast("long").alias("n_adjacent"),
         F.filter(lines, lambda x: x.rlike(WORD_IN)).alias("__sl_f"),
         window.alias("__sl_h"),
     )
@@ -93,7 +95,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 
 WORD_IN = r"[^\x20\x09-\x0D]"
-COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper_words", "n_lines")
+COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper_words", "n_adjacent", "n_lines")
 
 
 def _same(s: Column, x: Column, k: Column) -> Column:

@@ -25,8 +25,8 @@ WITH d AS (
 ), agg AS (
   SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars,
          sum((lower(rtrim(w, '.,;:!?')) IN ({STOP}))::INT) AS n_stop,
-         sum((upper(w) = w AND lower(w) <> w AND length(w) > 1)::INT) AS n_upper
-  FROM w GROUP BY rid
+         sum((upper(w) = w AND lower(w) <> w AND length(w) > 1)::INT) AS n_upper, sum((w = before)::INT) AS n_adjacent
+  FROM (SELECT *, coalesce(lag(w) OVER (PARTITION BY rid ORDER BY i), '') AS before FROM w) GROUP BY rid
 ), l AS (
   SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d
 ), ln AS (
@@ -35,7 +35,7 @@ WITH d AS (
 ), x AS (
   SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
-         coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(n_stop, 0) AS n_stop, coalesce(n_upper, 0) AS n_upper,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(n_stop, 0) AS n_stop, coalesce(n_upper, 0) AS n_upper, coalesce(n_adjacent, 0) AS n_adjacent,
          coalesce(n_lines, 0) AS n_lines
   FROM d LEFT JOIN agg USING (rid) LEFT JOIN ln USING (rid) LEFT JOIN covered c USING (rid)
 ), y AS (
@@ -47,6 +47,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND coalesce(n_symbols::DOUBLE / nullif(n_words, 0) <= 0.25, true)
        AND (n_words < 40 OR n_stop::DOUBLE / n_words >= 0.02)
        AND coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0) <= 0.6, true)
+       AND coalesce(n_adjacent::DOUBLE / nullif(n_words, 0) <= 0.3, true)
        AND (n_words < 20 OR n_upper::DOUBLE / n_words <= 0.6) AS kept
 FROM y
 """
