@@ -1 +1 @@
-
+"""Operators over targets, lines, syntax nodes and findings."""

@@ -1 +1 @@
-
+"""Incremental review of files that arrive."""
