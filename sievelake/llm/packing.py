@@ -25,9 +25,11 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -202,66 +204,112 @@ def lower_bound(counts: dict[int, int], cap: int) -> int:
     return best
 
 
-def fillings(first: int, counts: dict[int, int], cap: int, width: int = 8) -> list[tuple[int, ...]]:
-    """Undominated ways of at most three more pieces to fill a bin that holds `first`, least waste first.
+def fillings(first: int, counts: dict[int, int], cap: int, sizes: list[int] | None = None, width: int = 4, tries: int = 400, most: int = 6) -> list[tuple[int, ...]]:
+    """Undominated ways of filling a bin that holds `first` with at most `most` more pieces, least waste first, then fewest pieces.
 
-    Of one piece only the longest that fits is undominated, and of more pieces the
-    last one must be the longest that still fits; a set that isn't longer than that
-    one piece is dominated by it.
+    Longest pieces come first in the search. Of one total the set of fewest pieces
+    dominates the others (its pieces can stand for sums of theirs), a set that could
+    still take a piece is dominated by the fuller one, and a full bin ends the
+    search. sizes: the lengths in ascending order; tries: the pieces tried.
     """
-    room = cap - first
-    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    if not sizes:
-        return [()]
-
-    def longest(limit: int, used: tuple[int, ...]) -> int:
-        for s in sizes:
-            if s <= limit and counts[s] - used.count(s) - (s == first) > 0:
-                return s
-        return 0
+    sizes = sorted(counts) if sizes is None else sizes
+    room, least, left = cap - first, sizes[0], tries
+    used, found = Counter({first: 1}), {room: ()}
+
+    def extend(free: int, limit: int, picked: tuple[int, ...]) -> bool:
+        nonlocal left
+        if free not in found or len(found[free]) > len(picked):
+            found[free] = picked
+        if free < least or len(picked) >= most:
+            return free == 0
+        k, branches = bisect_right(sizes, min(free, limit)) - 1, 6 if picked else 40
+        while k >= 0 and branches and left > 0:
+            s = sizes[k]
+            if counts[s] > used[s]:
+                left -= 1
+                branches -= 1
+                used[s] += 1
+                done = extend(free - s, s, (*picked, s))
+                used[s] -= 1
+                if done:
+                    return True
+            k -= 1
+        return False
+
+    extend(room, room, ())
+    return [found[w] for w in sorted(found)[:width]]
+
+
+def complete(counts: dict[int, int], cap: int, nodes: int = 3000, rounds: int = 20, bins_a_round: int = 450) -> Plan:
+    """Patterns and multiplicities of a packing of all pieces (none longer than cap).
+
+    After a search over everything, rounds of it re-pack parts of the incumbent:
+    bins that aren't full together with full ones drawn at random (from a fixed
+    seed), a problem small enough for the search to end well.
+    """
+    counts = {s: n for s, n in counts.items() if n}
+    least, draw = lower_bound(counts, cap), Random(0)
+    best = search(counts, cap, best_fit(counts, cap), nodes)
+    for k in range(rounds):
+        if size_of(best) <= least:
+            break
+        bins: Counter = Counter()
+        for pattern, n in best:
+            bins[pattern] += n
+        loose, full = [p for p in bins if sum(p) < cap], [p for p in bins if sum(p) == cap]
+        draw.shuffle(full)
+        if k % 2:
+            draw.shuffle(loose)
+        else:
+            loose.sort(key=lambda p: (sum(p) - cap) * draw.uniform(0.5, 1))  # those with most room first, about
+        part: Counter = Counter()
+        for p in loose + full:
+            free = (bins_a_round * 2 // 3 if sum(p) < cap else bins_a_round) - part.total()
+            if free > 0:
+                part[p] = min(bins[p], free, 40 if sum(p) < cap else 2)
+        inner: Counter = Counter()
+        for p, n in part.items():
+            for s in p:
+                inner[s] += n
+        again = search(dict(inner), cap, list(part.items()), nodes)
+        if size_of(again) < part.total():
+            bins.subtract(part)
+            for p, n in again:
+                bins[p] += n
+            best = [(p, n) for p, n in bins.items() if n]
+    return best
 
-    one = longest(room, ())
-    out = {(one,)} if one else {()}
-    if one != room:
-        for x in sizes:
-            if counts[x] - (x == first) <= 0:
-                continue
-            y = longest(min(room - x, x), (x,))
-            if y and x + y > one:
-                out.add((x, y))
-                if x + y < room and (z := longest(min(room - x - y, y), (x, y))):
-                    out.add((x, y, z))
-            if len(out) > 4 * width and any(sum(f) == room for f in out):
-                break
-    return sorted(out, key=lambda f: (room - sum(f), len(f), f))[:width]
 
+def size_of(plan: Plan) -> int:
+    return sum(n for _, n in plan)
 
-def complete(counts: dict[int, int], cap: int, nodes: int = 2000) -> Plan:
-    """Patterns and multiplicities of a packing of all pieces (none longer than cap)."""
-    counts = {s: n for s, n in counts.items() if n}
-    best = best_fit(counts, cap)
-    bins = sum(n for _, n in best)
+
+def search(counts: dict[int, int], cap: int, best: Plan, nodes: int) -> Plan:
+    """Depth-first bin completion from the incumbent `best`."""
     least, total = lower_bound(counts, cap), sum(s * n for s, n in counts.items())
-    left_nodes = nodes
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
-    while stack and bins > least and left_nodes:
-        left_nodes -= 1
-        rest, plan, used, waste = stack.pop()
-        if used + lower_bound_sum(rest, cap) >= bins or waste > (bins - 1) * cap - total:
-            continue
-        if not rest:
-            best, bins = plan, used
-            continue
-        if len(plan) % 16 == 0:
-            tail = best_fit(rest, cap)
-            if (n := used + sum(k for _, k in tail)) < bins:
-                best, bins = plan + tail, n
-        first = max(rest)
-        for more in reversed(fillings(first, rest, cap)):
-            need = Counter((first, *more))
-            times = min(rest[s] // k for s, k in need.items())
-            after = {s: n - times * need[s] for s, n in rest.items() if n > times * need[s]}
-            stack.append((after, [*plan, ((first, *more), times)], used + times, waste + times * (cap - first - sum(more))))
+    bins = size_of(best)
+    for tries in (300, 3000, 30_000):  # a longer look at each filling after a short one
+        left_nodes = nodes // 3
+        stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
+        while stack and left_nodes and bins > least:
+            left_nodes -= 1
+            rest, plan, used, waste = stack.pop()
+            if used + lower_bound_sum(rest, cap) >= bins or waste > (bins - 1) * cap - total:
+                continue
+            if not rest:
+                best, bins = plan, used
+                continue
+            if len(plan) % 16 == 0:
+                tail = best_fit(rest, cap)
+                if (n := used + size_of(tail)) < bins:
+                    best, bins = plan + tail, n
+            sizes = sorted(rest)
+            first = sizes[-1]
+            for more in reversed(fillings(first, rest, cap, sizes, tries=tries)):
+                need = Counter((first, *more))
+                times = min(rest[s] // k for s, k in need.items())
+                after = {s: n - times * need[s] for s, n in rest.items() if n > times * need[s]}
+                stack.append((after, [*plan, ((first, *more), times)], used + times, waste + times * (cap - first - sum(more))))
     return best
 
 
@@ -284,7 +332,7 @@ def slots(plan: Plan) -> dict[str, np.ndarray]:
     return {"length": a[:, 0], "rank": a[:, 1], "base": a[:, 2], "offset": a[:, 3]}
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text", nodes: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text", nodes: int = 3000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece. Full pieces have negative sequence ids."""
     spark = docs.sparkSession
     pieces = cut(tokenized(docs, tokenizer or default_tokenizer(), length, end, id_col, text_col).withColumn("__sl_n", F.monotonically_increasing_id()))
