@@ -199,8 +199,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else kept_text(t, m)[0] for t, m in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist())], pa.binary()).cast(pa.string())], ["__sl_doc", "__sl_t"])
 
-    changed = rows.where("bitmap is not null").withColumn("__sl_doc", F.col("__sl_doc").dropFields(text_col) if len(docs.columns) > 1 else F.struct(F.lit(1).alias("__sl_one")))
-    schema = changed.select("__sl_doc", "__sl_t").schema
-    changed = changed.select("__sl_doc", "__sl_t", "bitmap").mapInArrow(run, schema)
-    count = lambda c, text: F.length(text).cast(docs.schema["n_chars"].dataType) if c == "n_chars" else F.col(f"__sl_doc.`{c}`")
-    return rows.where("bitmap is null").select("__sl_doc.*").unionByName(changed.select(*[(F.col("__sl_t") if c == text_col else count(c, F.col("__sl_t"))).alias(c) for c in docs.columns]))
+    rest = [c for c in docs.columns if c != text_col]
+    rows = rows.withColumn("__sl_doc", F.struct(*[F.col(f"__sl_doc.`{c}`") for c in rest]) if rest else F.struct(F.lit(1).alias("__sl_one")))
+    # one pass over the join: two, for changed and unchanged texts, would shuffle the texts twice
+    done = rows.select("__sl_doc", "__sl_t", "bitmap").mapInArrow(run, rows.select("__sl_doc", "__sl_t").schema)
+    count = F.length("__sl_t")
+    return done.select(*[(F.col("__sl_t") if c == text_col else count.cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"__sl_doc.`{c}`")).alias(c) for c in docs.columns])
