@@ -42,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers up to which a side is broadcast; a larger one is joined by a shuffle.
+SMALL = 200_000
+
+
+def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """df, a stored table of narrow rows, to be broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import LOWER, as_bytes, cut, slices
+from sievelake.llm.common import LOWER, as_bytes, cut, slices, small
 from sievelake.llm.textvec import grams, words
 
 W, K = 10, 5
@@ -203,4 +203,4 @@ def report(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that share no window with the benchmark."""
     bad = cut(contamination(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("__sl_id")).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__sl_id")), "left_anti")
+    return docs.join(small(bad), F.col(id_col).eqNullSafe(F.col("__sl_id")), "left_anti")

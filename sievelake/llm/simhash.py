@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import LOWER, as_bytes, components, cut, slices
+from sievelake.llm.common import LOWER, as_bytes, components, cut, slices, small
 
 BITS, TAU, SHINGLE, SEED = 64, 2, 3, 42
 #: A bucket of more values than this is crowded and takes the exact path.
@@ -59,14 +59,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (bigint) of every row."""
+    """doc_id, fp (bigint) and row_hash (of the text) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x) for x in as_bytes(b.column(1))], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x) for x in as_bytes(b.column(1))], pa.int64()), b.column(2)], ["doc_id", "fp", "row_hash"])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_hash(text_col).alias("row_hash"))
+    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp bigint, row_hash bigint")
+
+
+def row_hash(text_col: str):
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def n_parts(n: int, tau: int = TAU) -> int:
@@ -244,28 +249,34 @@ def links(values: DataFrame, n: int) -> DataFrame:
     return found.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links reach) of every row."""
-    prints = cut(fingerprints(docs, id_col, text_col))
+def grouped(prints: DataFrame) -> DataFrame:
+    """fp, root (of its component) and component_id (the component's smallest doc_id) of each distinct value."""
     values = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(values.select("fp"), values.count()))
-    placed = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    placed = cut(placed)
+    placed = cut(values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select(F.col("fp").alias("__sl_fp"), "component_id")
-    return prints.join(named, prints["fp"] == named["__sl_fp"]).select("doc_id", "fp", "component_id")
+    return placed.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id that links reach) of every row."""
+    prints = cut(fingerprints(docs, id_col, text_col))
+    return prints.join(grouped(prints), "fp").select("doc_id", "fp", "component_id")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, with all columns: the row of the smallest id (of repeated rows any one)."""
-    near = near_duplicates(docs, id_col, text_col)
-    kept = cut(near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
-    out = docs.join(kept.select(F.col("doc_id").alias("__sl_id")), F.col(id_col).eqNullSafe(F.col("__sl_id")), "left_semi")
-    if kept.where("n > 1").isEmpty():
+    """One row of each group of near-duplicates, with all columns: that of the smallest id (null last), then of the least text hash; of equal rows any one."""
+    prints = cut(fingerprints(docs, id_col, text_col))
+    rows = cut(prints.join(grouped(prints), "fp").groupBy("root", "doc_id", "row_hash").agg(F.count("*").alias("n")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_hash"))
+    best = rows.groupBy("root").agg(F.min(key).alias("best"))
+    rows = cut(rows.join(best, "root").select(F.col("doc_id").alias("__sl_id"), F.col("row_hash").alias("__sl_hash"), "n", key.eqNullSafe(F.col("best")).alias("stays")))
+    same = F.col(id_col).eqNullSafe(F.col("__sl_id")) & (row_hash(text_col) == F.col("__sl_hash"))
+    out = docs.join(small(cut(rows.where("not stays").select("__sl_id", "__sl_hash"))), same, "left_anti")
+    again = cut(rows.where("stays and n > 1").select("__sl_id", "__sl_hash"))
+    if again.isEmpty():
         return out
-    twice = kept.where("n > 1").select(F.col("doc_id").alias("__sl_id"))
-    same = F.col(id_col).eqNullSafe(F.col("__sl_id"))
-    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates([id_col]))
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def as_hex(fp: str = "fp"):

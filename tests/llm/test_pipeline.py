@@ -81,5 +81,11 @@ def test_repeated_rows_and_empty_input(spark, tmp_path):
     assert {x.doc_id for x in P.run(spark, sf).collect()} == {1, 3}
     near = P.near_dedup(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
     assert sorted(x.doc_id for x in near.collect()) == [1, 3]
+    (tmp_path / "c").mkdir()
+    other, third = "that is for the paper " + H.text(3, 60), "with the letter into " + H.text(4, 60)
+    sf = H.write_tables(tmp_path / "c", rows=[(1, long), (7, long), (7, other), (None, third), (None, third), (None, long), (8, third + " x")])
+    near = P.near_dedup(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert len({H.fingerprint(t) for t in (long, other, third)}) == 3 and (H.fingerprint(third) ^ H.fingerprint(third + " x")).bit_count() > 2
+    assert sorted(((x.doc_id, x.text) for x in near.collect()), key=repr) == sorted([(1, long), (7, other), (None, third), (8, third + " x")], key=repr)
     (tmp_path / "b").mkdir()
     assert P.run(spark, H.write_tables(tmp_path / "b", rows=[], items=[])).count() == 0
