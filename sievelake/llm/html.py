@@ -4,14 +4,16 @@ A tokenizer and a tree builder turn the markup, however broken, into balanced
 start and end events: void elements, implied end tags (p, li, dt, dd, options,
 table parts), stray end tags, raw text. Rules of visibility drop what a browser
 doesn't show: head, scripts, styles, templates, hidden and display:none
-subtrees, closed details and dialogs, comments. A layout engine fed by the events emits
+subtrees, closed details and dialogs, comments, and in SVG and MathML titles,
+definitions and annotations. A layout engine fed by the events emits
 all other text: blocks on lines of their own, blank lines round paragraphs,
 headings, lists and tables, list markers with nested indents, preformatted text
-as it is, and table cells padded to their columns. It keeps stacks instead of
+as it is, and table cells padded to their columns; formulas are inline, each text of a drawing and
+row of a formula has a line of its own. It keeps stacks instead of
 recursing, so nesting may be of any depth.
 
 Edge cases: a null page gives null text, an empty one empty text; text outside
-any tag is shown; an unclosed tag at the end is dropped; repeated rows are
+any tag is shown, and ends an open head; an unclosed tag at the end is dropped; repeated rows are
 rendered each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -31,7 +33,19 @@ from sievelake.llm.common import slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE_RAW = frozenset("title textarea".split())
-HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas svg math".split())
+HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas".split())
+#: Elements that are not shown inside svg and math; self-closing tags end there.
+FOREIGN_HIDDEN = {
+    "svg": frozenset("title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+#: Inside svg and math these hold HTML again.
+INTEGRATION = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+#: Start tags that end an open svg or math.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike"
+    " sub sup table tt u ul var".split()
+)
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html"
     " legend li main menu nav ol p pre search section summary table ul tr caption option".split()
@@ -59,8 +73,8 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 NO_SHOW = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, dict]]:
-    """('text' | 'start' | 'end', text or name, attributes)."""
+def tokens(page: str, foreign: list[str]) -> Iterator[tuple[str, str, dict]]:
+    """('text' | 'start' | 'end', text or name, attributes); a tag's closing slash is the attribute "/". foreign[0]: what the last start tag is in, set by the reader."""
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
@@ -94,11 +108,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict]]:
         attrs = m["attrs"]
         found = {}
         if attrs and not attrs.isspace():
+            at_attr = 0
             for a in ATTR.finditer(attrs):
                 value = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4]
                 found.setdefault(a[1].lower(), _text(value) if value else "")
+                at_attr = a.end()
+            if attrs.endswith("/") and at_attr < len(attrs):
+                found["/"] = ""
         yield "start", name, found
-        if name in RAW or name in ESCAPABLE_RAW:
+        if (name in RAW or name in ESCAPABLE_RAW) and not (foreign[0] and "/" in found):
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             raw = page[at : end.start() if end else n]
             yield "text", raw if name in RAW else _text(raw), {}
@@ -109,7 +127,9 @@ def _text(s: str) -> str:
     return unescape(s) if "&" in s else s
 
 
-def hidden(name: str, attrs: dict) -> bool:
+def hidden(name: str, attrs: dict, space: str = "") -> bool:
+    if space and (name in FOREIGN_HIDDEN[space] or attrs.get("display", "").strip() == "none" or attrs.get("visibility", "").strip() in ("hidden", "collapse")):
+        return True
     if name in HIDDEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found":
         return True
     if name == "input" and attrs.get("type", "").lower() == "hidden" or name == "dialog" and "open" not in attrs:
@@ -117,13 +137,23 @@ def hidden(name: str, attrs: dict) -> bool:
     return bool((style := attrs.get("style")) and NO_SHOW.search(style))
 
 
-def events(page: str) -> Iterator[tuple[str, str, dict]]:
-    """Balanced events: what the tokenizer gives, with implied ends."""
+def events(page: str) -> Iterator[tuple[str, str, dict, str]]:
+    """Balanced events: what the tokenizer gives, with implied ends; the last item is svg or math for their elements."""
     stack: list[str] = []
+    spaces: list[str] = []  # of each open element: svg or math for its children, empty for HTML
+    own: list[str] = []  # the same for the element itself
+    foreign = [""]
 
-    def close(k: int) -> Iterator[tuple[str, str, dict]]:
+    def close(k: int) -> Iterator[tuple[str, str, dict, str]]:
         while len(stack) > k:
-            yield "end", stack.pop(), {}
+            spaces.pop()
+            yield "end", stack.pop(), {}, own.pop()
+
+    def put(x: str, inside: str, space: str) -> None:
+        stack.append(x)
+        spaces.append(inside)
+        own.append(space)
+        count[x] = count.get(x, 0) + 1
 
     count: dict[str, int] = {}  # of open elements, so that a search of the stack is made only if it can succeed
 
@@ -139,10 +169,25 @@ def events(page: str) -> Iterator[tuple[str, str, dict]]:
 
     p = frozenset(["p"])
     stop = frozenset("table td th caption html body button".split())
-    for kind, x, attrs in tokens(page):
+    for kind, x, attrs in tokens(page, foreign):
         if kind == "text":
-            yield kind, x, attrs
+            if stack and stack[-1] == "head" and x.strip(" \t\n\r\f"):
+                yield from _counted(close(len(stack) - 1), count)
+            yield kind, x, attrs, ""
         elif kind == "start":
+            if spaces and spaces[-1] and x in BREAKOUT:
+                k = len(stack)
+                while k and spaces[k - 1]:
+                    k -= 1
+                yield from _counted(close(k), count)
+            foreign[0] = space = x if x in FOREIGN_HIDDEN else spaces[-1] if spaces else ""
+            if space and x not in FOREIGN_HIDDEN:
+                yield kind, x, attrs, space
+                if "/" in attrs:
+                    yield "end", x, {}, space
+                else:
+                    put(x, "" if x in INTEGRATION[space] else space, space)
+                continue
             if x in ("html", "body", "head") and count.get(x):
                 continue
             if x == "body" and count.get("head") and (k := find(frozenset(["head"]), frozenset(["html"]))) >= 0 or x not in HIDDEN and x not in ("html", "head") and count.get("head") and stack[-1] == "head" and (k := len(stack) - 1) >= 0:
@@ -153,15 +198,14 @@ def events(page: str) -> Iterator[tuple[str, str, dict]]:
                     yield from _counted(close(k), count)
             if x in CLOSES_P and count.get("p") and (k := find(p, stop)) >= 0:
                 yield from _counted(close(k), count)
-            yield kind, x, attrs
-            if x in VOID:
-                yield "end", x, {}
+            yield kind, x, attrs, space
+            if x in VOID or space and "/" in attrs:
+                yield "end", x, {}, space
             else:
-                stack.append(x)
-                count[x] = count.get(x, 0) + 1
+                put(x, space, space)
         elif x == "br":
-            yield "start", "br", {}
-            yield "end", "br", {}
+            yield "start", "br", {}, ""
+            yield "end", "br", {}, ""
         elif count.get(x):
             k = find(frozenset([x]), SCOPE - {x}) if x not in ("html", "body", "table") else max(i for i, n in enumerate(stack) if n == x)
             if k >= 0 and x not in ("html", "body"):
@@ -274,7 +318,7 @@ def render(page: str) -> str:
     hide = 0  # depth inside a hidden element
     pre = 0
     details: list[list] = []  # of each open one: whether it is closed to the reader, and how deep inside its children we are
-    for kind, x, attrs in events(page):
+    for kind, x, attrs, space in events(page):
         flow = flows[-1]
         if kind == "text":
             if hide or details and details[-1][0] and not details[-1][1]:
@@ -287,7 +331,7 @@ def render(page: str) -> str:
                 flow.text(x)
             continue
         if kind == "start":
-            if hide or hidden(x, attrs):
+            if hide or hidden(x, attrs, space):
                 hide += 1
                 continue
             if details and details[-1][0] and x != "summary" and details[-1][1] == 0:
@@ -295,6 +339,14 @@ def render(page: str) -> str:
                 continue
             if details:
                 details[-1][1] += 1
+            if space:
+                if pre:
+                    continue
+                if x in ("text", "mtr", "mlabeledtr") or x == "math" and attrs.get("display", "").lower() == "block":
+                    flow.rest(1)
+                elif x == "mtd":
+                    flow.text(" ")
+                continue
             if x == "br":
                 flow.br()
             elif x == "table":
@@ -347,6 +399,10 @@ def render(page: str) -> str:
             details.pop()
         if details:
             details[-1][1] -= 1
+        if space:
+            if x in ("text", "mtr", "mlabeledtr") and not pre:
+                flow.rest(1)
+            continue
         if x == "table" and tables:
             table = tables.pop()
             flow.flush()

@@ -233,6 +233,33 @@ def test_layout(page, want):
     assert html.render(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be", "let x=2 be"),
+    ("<math><semantics><mrow><mi>y</mi><mspace/><mn>1</mn></mrow><annotation encoding='application/x-tex'>\\y</annotation></semantics></math>z", "y1z"),
+    ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd><mtd><mn>4</mn></mtd></mtr></mtable></math>", "1 2\n3 4"),
+    ("<svg><title>n</title><desc>n</desc><defs><text>n</text></defs><path d='M0 0'/><text x=1>A <tspan>b</tspan></text><text display='none'>n</text><text>C</text></svg>d", "A b\nC\nd"),
+    ("<svg><style/><title/><defs/><text>A</text></svg>d<title>n</title>e", "A\nde"),
+    ("<svg><foreignObject><p>one<p>two</foreignObject></svg>d", "one\n\ntwo\n\nd"),
+    ("<svg><defs><p>shown</p>d", "shown\n\nd"),
+    ("<desc>a</desc><svg><a href=x/>b</a></svg>", "ab"),
+    ("<head><title>T</title>Hello<p>there", "Hello\n\nthere"),
+    ("<html><head>\n<title>T</title> <meta x>\n</head>b", "b"),
+])
+def test_formulas_drawings_and_open_heads(page, want):
+    assert html.render(page) == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("<svg> </svg> <math> </math> <text> </text> <title/> <style/> <defs> <desc> </desc> <foreignObject> <mi> </mi> <mtd> <annotation> <p> </p> <table> <td> </table> <pre> </pre> <details> <summary> </details> <head> x".split()), max_size=40))
+def test_any_foreign_markup_is_balanced(parts):
+    page, depth = " ".join(parts), 0
+    for kind, *_ in html.events(page):
+        depth += {"start": 1, "end": -1, "text": 0}[kind]
+        assert depth >= 0
+    assert depth == 0
+    html.render(page)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("<p> </p> <li> <ul> </ul> <td> <tr> <table> </table> </td> x <b> </b> <pre> </pre> <details> </details> <summary> <caption> </caption> <dd> < &amp; <!-- --> <head> <body> <title> </title> <script> </script> <option> <select> <blockquote> </blockquote>".split()), max_size=40))
 def test_any_markup_is_rendered(parts):
