@@ -12,9 +12,12 @@ need no packing.
 The solver: best-fit decreasing on counts gives the first incumbent; if it isn't
 at the lower bound (the better of the sum bound and Martello and Toth's L2), a
 depth-first bin completion takes the largest length left, enumerates its
-undominated fillings by least waste, commits each to as many bins as counts
-allow, prunes by the waste that a better packing can still afford, and completes
-nodes by best fit for new incumbents. `nodes` bounds the search, not the input.
+fillings by least waste, of any number of pieces, commits each to as many bins as
+counts allow, prunes by the waste that a better packing can still afford, and
+completes nodes by best fit for new incumbents. Two passes look at a few fillings of
+each node; the last one at all undominated ones, each in full, half and single
+multiplicity. `nodes` bounds the passes, `nodes` / 10 or `nodes` the sets tried at a
+node, and `rounds` the searches of parts; none bounds the input.
 
 Edge cases: a null or empty text has the end token only; repeated rows are
 packed each; an empty table gives an empty result; other columns are not read.
@@ -25,7 +28,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -204,42 +207,81 @@ def lower_bound(counts: dict[int, int], cap: int) -> int:
     return best
 
 
-def fillings(first: int, counts: dict[int, int], cap: int, sizes: list[int] | None = None, width: int = 4, tries: int = 400, most: int = 6) -> list[tuple[int, ...]]:
-    """Undominated ways of filling a bin that holds `first` with at most `most` more pieces, least waste first, then fewest pieces.
+def fillings(first: int, counts: dict[int, int], cap: int, sizes: list[int] | None = None, width: int = 4, tries: int = 400) -> list[tuple[int, ...]]:
+    """A quick choice of fillings of a bin that holds `first`, least waste first, then fewest pieces.
 
-    Longest pieces come first in the search. Of one total the set of fewest pieces
-    dominates the others (its pieces can stand for sums of theirs), a set that could
-    still take a piece is dominated by the fuller one, and a full bin ends the
-    search. sizes: the lengths in ascending order; tries: the pieces tried.
+    Longest pieces come first in the search, each length in as many copies as fit and
+    then in fewer. One set of fewest pieces is kept of each total, a few branches of
+    each step are followed, and a full bin ends the search: `all_fillings` leaves
+    none out. sizes: the lengths in ascending order; tries: the sets tried.
     """
     sizes = sorted(counts) if sizes is None else sizes
     room, least, left = cap - first, sizes[0], tries
-    used, found = Counter({first: 1}), {room: ()}
+    found: dict[int, tuple[int, ...]] = {room: ()}
 
-    def extend(free: int, limit: int, picked: tuple[int, ...]) -> bool:
+    def extend(free: int, top: int, picked: tuple[int, ...]) -> bool:
         nonlocal left
         if free not in found or len(found[free]) > len(picked):
             found[free] = picked
-        if free < least or len(picked) >= most:
+        if free < least:
             return free == 0
-        k, branches = bisect_right(sizes, min(free, limit)) - 1, 6 if picked else 40
+        k, branches = min(bisect_right(sizes, free) - 1, top), 6 if picked else 40
         while k >= 0 and branches and left > 0:
             s = sizes[k]
-            if counts[s] > used[s]:
+            n = min(counts[s] - (s == first), free // s)
+            branches -= n > 0
+            while n > 0 and left > 0:
                 left -= 1
-                branches -= 1
-                used[s] += 1
-                done = extend(free - s, s, (*picked, s))
-                used[s] -= 1
-                if done:
+                if extend(free - n * s, k - 1, (*picked, *(s,) * n)):
                     return True
+                n -= 1
             k -= 1
         return False
 
-    extend(room, room, ())
+    extend(room, len(sizes) - 1, ())
     return [found[w] for w in sorted(found)[:width]]
 
 
+def all_fillings(first: int, counts: dict[int, int], cap: int, sizes: list[int] | None = None, tries: int | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of a bin that holds `first`, least waste first, then fewest pieces; of the first `tries` sets if it is given.
+
+    The capacity alone bounds the pieces. A set goes if another piece fits in, or if
+    its pieces are seen to fit side by side into the pieces of a set kept.
+    """
+    sizes = sorted(counts) if sizes is None else sizes
+    found: list[tuple[int, tuple[int, ...]]] = []
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(cap - first, len(sizes) - 1, ())]
+    while stack and (tries is None or tries > 0):
+        free, top, picked = stack.pop()
+        tries = None if tries is None else tries - 1
+        top = min(bisect_right(sizes, free) - 1, top)
+        if top < 0:
+            used = Counter((first, *picked))
+            if all(s > free or counts[s] == used[s] for s in sizes[: bisect_right(sizes, free)]):
+                found.append((free, picked))
+            continue
+        s = sizes[top]
+        for n in range(min(counts[s] - (s == first), free // s) + 1):  # the last one is taken up first
+            stack.append((free - n * s, top - 1, (*picked, *(s,) * n)))
+    found.sort(key=lambda x: (x[0], len(x[1])))
+    kept: list[tuple[int, ...]] = []
+    for _, picked in found:
+        if not any(fits_into(picked, other) for other in kept):
+            kept.append(picked)
+            yield picked
+
+
+def fits_into(pieces: tuple[int, ...], spaces: tuple[int, ...]) -> bool:
+    """Whether best fit puts the pieces (descending) into the spaces; if so, the set of spaces dominates that of pieces."""
+    rooms = sorted(spaces)
+    for s in pieces:
+        k = bisect_left(rooms, s)
+        if k == len(rooms):
+            return False
+        insort(rooms, rooms.pop(k) - s)
+    return True
+
+
 def complete(counts: dict[int, int], cap: int, nodes: int = 3000, rounds: int = 20, bins_a_round: int = 450) -> Plan:
     """Patterns and multiplicities of a packing of all pieces (none longer than cap).
 
@@ -285,15 +327,39 @@ def size_of(plan: Plan) -> int:
 
 
 def search(counts: dict[int, int], cap: int, best: Plan, nodes: int) -> Plan:
-    """Depth-first bin completion from the incumbent `best`."""
+    """Depth-first bin completion from the incumbent `best`: two quick passes, then one that leaves nothing out but what `nodes` cuts off."""
     least, total = lower_bound(counts, cap), sum(s * n for s, n in counts.items())
     bins = size_of(best)
-    for tries in (300, 3000, 30_000):  # a longer look at each filling after a short one
+
+    def children(rest: dict[int, int], plan: Plan, used: int, waste: int, tries: int, whole: bool) -> Iterator[tuple[dict[int, int], Plan, int, int]]:
+        sizes = sorted(rest)
+        first = sizes[-1]
+        later = []
+        for more in all_fillings(first, rest, cap, sizes, tries) if whole else fillings(first, rest, cap, sizes, tries=tries):
+            need = Counter((first, *more))
+            most = min(rest[s] // k for s, k in need.items())
+            for times in sorted({most, (most + 1) // 2, 1} if whole else {most}, reverse=True):
+                if times < most:
+                    later.append((more, need, times))
+                else:
+                    yield commit(rest, plan, used, waste, (first, *more), need, times)
+        for more, need, times in later:  # one at a time reaches any multiplicity
+            yield commit(rest, plan, used, waste, (first, *more), need, times)
+
+    def commit(rest, plan, used, waste, pattern, need, times):
+        after = {s: n - times * need[s] for s, n in rest.items() if n > times * need[s]}
+        return after, [*plan, (pattern, times)], used + times, waste + times * (cap - sum(pattern))
+
+    for tries, whole in ((nodes // 10, False), (nodes, False), (nodes // 10, True)):  # a longer look at each filling after a short one
         left_nodes = nodes // 3
-        stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
+        stack = [iter([(counts, [], 0, 0)])]
         while stack and left_nodes and bins > least:
+            node = next(stack[-1], None)
+            if node is None:
+                stack.pop()
+                continue
             left_nodes -= 1
-            rest, plan, used, waste = stack.pop()
+            rest, plan, used, waste = node
             if used + lower_bound_sum(rest, cap) >= bins or waste > (bins - 1) * cap - total:
                 continue
             if not rest:
@@ -303,13 +369,7 @@ def search(counts: dict[int, int], cap: int, best: Plan, nodes: int) -> Plan:
                 tail = best_fit(rest, cap)
                 if (n := used + size_of(tail)) < bins:
                     best, bins = plan + tail, n
-            sizes = sorted(rest)
-            first = sizes[-1]
-            for more in reversed(fillings(first, rest, cap, sizes, tries=tries)):
-                need = Counter((first, *more))
-                times = min(rest[s] // k for s, k in need.items())
-                after = {s: n - times * need[s] for s, n in rest.items() if n > times * need[s]}
-                stack.append((after, [*plan, ((first, *more), times)], used + times, waste + times * (cap - first - sum(more))))
+            stack.append(children(*node, tries, whole))
     return best
 
 

@@ -166,6 +166,46 @@ def test_bin_completion_improves_best_fit():
     assert sum(n for _, n in packing.complete(worse, 61)) <= sum(n for _, n in packing.best_fit(worse, 61))
 
 
+def test_full_bins_of_many_short_pieces():
+    for counts in ({134: 42_000, 110: 14_000}, {600: 3, 1: 5000}):  # 6 x 134 + 2 x 110 is full
+        plan, total = packing.complete(counts, 1024), {}
+        for pattern, n in plan:
+            assert sum(pattern) <= 1024
+            for s in pattern:
+                total[s] = total.get(s, 0) + n
+        assert total == counts and sum(n for _, n in plan) == packing.lower_bound(counts, 1024)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 9), st.integers(1, 4), min_size=1, max_size=4))
+def test_no_undominated_filling_is_left_out(counts):
+    first, sizes = max(counts), sorted(counts)
+    got = list(packing.all_fillings(first, counts, 20))
+    for pick in itertools.product(*(range(counts[s] - (s == first) + 1) for s in sizes)):
+        pieces = tuple(s for s, n in zip(reversed(sizes), reversed(pick)) for _ in range(n))
+        if sum(pieces) <= 20 - first:
+            assert any(fits(pieces, x) for x in got)
+    assert all(first + sum(x) <= 20 and not any(x is not y and packing.fits_into(x, y) for y in got[: got.index(x)]) for x in got)
+
+
+def fits(pieces, spaces):
+    """Whether the pieces can be dealt to the spaces, by trying all ways."""
+    return not pieces or any(pieces[0] <= x and fits(pieces[1:], (*spaces[:k], x - pieces[0], *spaces[k + 1 :])) for k, x in enumerate(spaces))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=8))
+def test_search_of_small_problems_is_exact(pieces):
+    def least(rest, rooms):
+        if not rest:
+            return len(rooms)
+        ways = [least(rest[1:], tuple(sorted((*rooms[:k], x - rest[0], *rooms[k + 1 :])))) for k, x in enumerate(rooms) if x >= rest[0] and x not in rooms[:k]]
+        return min([*ways, least(rest[1:], tuple(sorted((*rooms, 15 - rest[0]))))])
+
+    counts = {s: pieces.count(s) for s in pieces}
+    assert sum(n for _, n in packing.complete(counts, 15)) == least(sorted(pieces, reverse=True), ())
+
+
 def test_slots_are_gapless():
     plan = [((5, 5, 3), 2), ((5, 4), 3), ((3,), 1)]
     s = packing.slots(plan)
