@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelake.functions.storage import SMALL, cut, input_bytes, range_parts, remove, shared_dir
+
+__all__ = ["SMALL", "cut", "input_bytes", "range_parts", "remove", "shared_dir"]
+
 #: Prefix of every internal column, so that extra input columns can't clash.
 P = "__sl_"
 
@@ -24,31 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="sievelake-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = f"file://{where}"
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
+def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """df, a stored table of narrow rows, to be broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= limit else df
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored in the shared folder: later steps don't depend on executors that may go."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+#: A group of more rows than this is never joined in one place.
+HOT = 10_000
 
-#: Rows of a few numbers up to which a side is broadcast; a larger one is joined by a shuffle.
-SMALL = 200_000
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with their group (one row of `groups` for each key; `size`, dropped here, counts its rows).
 
-def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """df, a stored table of narrow rows, to be broadcast if it was counted to be small."""
-    return F.broadcast(df) if df.count() <= limit else df
+    Groups of over HOT rows, which are a HOT-th of the rows at most, are broadcast, so that no task meets one whole; a number of them that isn't
+    small any more (beyond SMALL * HOT rows in all) goes by the adaptive skew join like the rest.
+    """
+    big = groups.where(F.col(size) > HOT).drop(size)
+    n = big.count()
+    if not n or n > SMALL:
+        return rows.join(groups.drop(size), key)
+    hot = rows.join(F.broadcast(big), key)
+    cold = rows.join(F.broadcast(big.select(key)), key, "left_anti").join(groups.where(F.col(size) <= HOT).drop(size), key)
+    return hot.unionByName(cold)
+
+
+def draw_below(n: Column, wanted: int, spare: float = 1.2) -> Column:
+    """The signed 64-bit hash up to which about spare * wanted of n rows lie (all of them if n is small)."""
+    share = F.lit(spare * wanted) / n
+    return F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * F.lit(2.0**64) - F.lit(2.0**63)).cast("bigint"))
 
 
 def words_of(text: Column) -> Column:

@@ -7,9 +7,12 @@ against the rest, is solved in the Nystroem space of landmark texts. As the
 kernel is linear in the presence vectors, landmarks and coefficients fold into a
 V x languages matrix, and a batch of texts is scored by one matrix product.
 
-The fit uses a bounded sample: up to PER_LANG texts of each of the LANGS most
-frequent languages, those with the least hashes of doc_id among texts of up to FIT_CHARS
-characters. Every text is scored whole.
+The fit uses a bounded sample: up to PER_LANG texts of every language there is (fewer
+where FIT_TEXTS texts over all languages would be exceeded, LEAST at the least), those with the
+least hashes of doc_id. Which ones these are is settled by a threshold on the whole 64-bit hash,
+taken from counts over all rows, so the sample is as full for 10^11 texts as for a thousand.
+Executors turn the sampled texts, whole, into presence vectors; the driver gets these,
+V bits each, and no text. Every text is scored whole.
 
 Edge cases: a null text, or one without a letter, is "und" with score 0; if no
 labelled row may be learned from, all are; repeated rows are scored each; an
@@ -23,13 +26,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import slices
+from sievelake.llm.common import cut, draw_below, slices, small
 
 V, GRAMS = 1 << 16, (2, 3, 4)
-PER_LANG, LANDMARKS, LANGS, FIT_CHARS = 400, 60, 64, 20_000
+#: Texts of a language in the fit, texts of all, least texts of a language; landmarks of a language and of all (one each at least).
+PER_LANG, FIT_TEXTS, LEAST, LANDMARKS, ALL_LANDMARKS = 400, 12_800, 20, 60, 512
 RIDGE, SHARPNESS, BATCH = 1e-3, 4.0, 64
 UNKNOWN = "und"
 
@@ -74,20 +78,33 @@ def presence(text: str, out: np.ndarray) -> bool:
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """The languages and the V x languages matrix of their scores."""
-    rows, names = np.zeros((len(texts), V), np.uint8), sorted(set(langs))
-    use = np.array([presence(t, rows[i]) for i, t in enumerate(texts)], bool) if texts else np.zeros(0, bool)
-    y = np.array([names.index(x) for x in langs], np.int64)
-    if not use.any():
+    """The languages and the V x languages matrix of their scores, of texts."""
+    rows = np.zeros((len(texts), V), np.uint8)
+    use = [presence(t, rows[i]) for i, t in enumerate(texts)]
+    return fit_packed([np.packbits(r) for r, u in zip(rows, use) if u], [x for x, u in zip(langs, use) if u], landmarks, ridge)
+
+
+def _unpacked(packed: list[np.ndarray]) -> np.ndarray:
+    return np.unpackbits(np.stack(packed), axis=1).astype(np.float32)
+
+
+def fit_packed(packed: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
+    """The same of presence vectors of V packed bits; only the landmarks, and 128 others at a time, are unpacked."""
+    names = sorted(set(langs))
+    if not names:
         return [], np.zeros((V, 0), np.float32)
-    size = np.sqrt(np.maximum(rows.sum(1, dtype=np.int64), 1)).astype(np.float64)
-    chosen = np.concatenate([np.flatnonzero(use & (y == k))[:landmarks] for k in range(len(names))])
-    base = rows[chosen].astype(np.float32) / size[chosen, None].astype(np.float32)
-    kernel = np.concatenate([(rows[k : k + 128].astype(np.float32) @ base.T) for k in range(0, len(rows), 128)]) / size[:, None]
+    number = {x: k for k, x in enumerate(names)}
+    y = np.array([number[x] for x in langs], np.int64)
+    each = min(landmarks, max(1, ALL_LANDMARKS // len(names)))
+    chosen = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(names))])
+    size = np.sqrt(np.array([np.bitwise_count(r).sum(dtype=np.int64) for r in packed], np.float64))
+    base = np.concatenate([_unpacked([packed[i] for i in chosen[k : k + 128]]) for k in range(0, len(chosen), 128)])
+    base /= size[chosen, None].astype(np.float32)
+    kernel = np.concatenate([_unpacked(packed[k : k + 128]) @ base.T for k in range(0, len(packed), 128)]) / size[:, None]
     values, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
     good = values > values.max() * 1e-6
     half = vectors[:, good] / np.sqrt(values[good])
-    z, target = (kernel @ half)[use], np.where(y[use, None] == np.arange(len(names)), 1.0, -1.0)
+    z, target = kernel @ half, np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     w = np.linalg.solve(z.T @ z + ridge * len(z) * np.eye(z.shape[1]), z.T @ target)
     return names, (base.T @ (half @ w)).astype(np.float32)
 
@@ -111,24 +128,31 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
-    if not counts:
+    h = F.xxhash64(id_col)
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), h.alias("h"), F.col(text_col).alias("text"))
+    # a row for each language; the least hash is let in too, so that a language of few distinct ids has a text
+    counts = cut(rows.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")))
+    n_langs = counts.count()
+    if not n_langs:
         return fit([], [])
-    # about per_lang rows of each language: those whose hash is below a threshold, then a hard bound
-    draw, chance = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)), F.lit(None)
-    for r in counts:
-        chance = F.when(F.col(lang_col) == r["lang"], F.lit(int(min(1.0, 1.2 * per_lang / r["n"]) * 1_000_000))).otherwise(chance)
-    picked = rows.where((draw < chance) & (F.length(text_col) <= FIT_CHARS)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    sample = picked.orderBy("h", "text").limit(2 * per_lang * len(counts)).collect()
-    taken: dict[str, int] = {}
-    texts, langs = [], []
-    for r in sample:
-        if taken.setdefault(r["lang"], 0) < per_lang:
-            taken[r["lang"]] += 1
-            texts.append(r["text"])
-            langs.append(r["lang"])
-    return fit(texts, langs)
+    wanted = min(per_lang, max(LEAST, FIT_TEXTS // n_langs))
+    chance = small(counts.select("lang", F.greatest(draw_below(F.col("n"), wanted), "least").alias("below")))
+    picked = rows.join(chance, "lang").where("h <= below").select("lang", "h", "text")
+    # the rank's limit is applied in each partition before anything is shuffled
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    sample = picked.where(F.col("text").rlike(r"\p{L}")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= wanted).select("lang", "h", "text")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2):
+            row, bits = np.zeros(V, np.uint8), []
+            for t in b.column(2).to_pylist():
+                row[:] = 0
+                bits.append(np.packbits(row).tobytes() if presence(t, row) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], ["lang", "h", "bits"])
+
+    got = sample.mapInArrow(pack, "lang string, h bigint, bits binary").where("bits is not null").toArrow()  # V / 8 bytes each
+    got = got.sort_by([("h", "ascending"), ("bits", "ascending")])
+    return fit_packed([np.frombuffer(x.as_buffer(), np.uint8) for x in got.column("bits")], got.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> DataFrame:
