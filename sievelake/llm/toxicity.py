@@ -1,17 +1,22 @@
 """Toxicity by a grammar of weighted finite-state transducers.
 
-Sequential transducers over token classes are composed once: negation weakens an
-insult within its reach, reported speech weakens those up to the clause's end,
-and a target near an insult makes it directed, as it makes a threat count. The
-composed machine runs over the clauses that hold a lexicon match, not over
-whole texts; its output is a few weights a clause, summed over the document. A
-logistic regression over these sums (and their density) gives the score, so how
-much a negated or a directed insult counts is learned, not set.
+Sequential transducers over token classes are composed once. The insult transducer
+turns lexicon words into insults, stronger after an intensifier; the threat transducer
+turns a verb of violence into a threat that is open until its victim follows, stronger
+after a word of intent; negation weakens insults and threats within its reach, reported
+speech weakens those up to the clause's end, and a target makes an insult directed, as
+it makes a threat count. The composed machine runs over the clauses that hold a lexicon
+match, each to its true ends, not over whole texts; its output is a few weights a
+clause, summed over the document. A logistic regression over these sums (and their
+density) gives the score, so how much a negated or a directed insult counts is learned,
+not set.
 
 The lexicon has fixed seed words and word beginnings learned from the labels:
 those much more frequent in toxic documents than in others, weighted by their
-log-odds. The fit uses a bounded sample of FIT_DOCS labelled documents (least
-hashes of doc_id) of up to FIT_CHARS characters; every text is scored whole.
+log-odds. The fit uses a bounded sample of FIT_DOCS labelled documents of up to FIT_CHARS
+characters, half of them toxic where there are so many, those with the least hashes of
+doc_id (a threshold on the whole 64-bit hash, from counts over all labels, so the sample is as
+full for 10^11 labels as for a thousand); weights undo the halving. Every text is scored whole.
 
 Edge cases: a null or empty text has no clause and scores the base rate of texts
 without a match; of several labels of one id the largest counts; without both
@@ -32,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import slices
+from sievelake.llm.common import cut, draw_below, slices
 from sievelake.llm.langid import held_out
 
 FIT_DOCS, FIT_CHARS = 6000, 20_000
 THRESHOLD = 0.3
-#: Learned beginnings: length, least toxic documents, least odds ratio, most entries.
-STEM, STEM_DOCS, STEM_ODDS, STEMS = range(3, 10), 5, 4.0, 300
+#: Learned beginnings: length, least toxic documents, least odds ratio.
+STEM, STEM_DOCS, STEM_ODDS = range(3, 10), 5, 4.0
 
 #: Seed words of each class, in English, German, French and Spanish.
 INSULTS = "idiot moron scum trash clown stupid pathetic worthless loser disgusting dumb fool imbecile idioten dummkopf abschaum idiote crétin ordure imbécil estúpido basura".split()
@@ -46,11 +51,13 @@ THREATS = "kill hurt destroy beat shoot stab burn töten umbringen schlagen tuer
 TARGETS = "you your yours he him she her they them u du dich dir ihr euch sie tu toi te vous ils elles tú ti usted vosotros ellos ellas".split()
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't nobody nicht kein keine nie ne pas jamais nunca jamás tampoco".split()
 REPORTS = "said says saying called calls wrote writes claimed claims reported quoted sagte sagt nannte schrieb behauptete dit disait écrit appelé dijo dice escribió llamó".split()
+INTENTS = "will shall gonna going must werde wirst wird vais vas va voy vamos".split()
+INTENSIFIERS = "such so very total complete utter absolute damn fucking völlig echt tellement vraiment tan muy".split()
 
 WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-CLAUSE_END = re.compile(r"[.!?;:\n]")
-#: A clause is cut at so many characters before and after a match if no mark ends it: a window, as texts may have no marks.
-REACH = 200
+#: Marks that end a clause.
+MARKS = ".!?;:\n"
+CLAUSE_END = re.compile(f"[{MARKS}]")
 
 
 @dataclass
@@ -72,12 +79,41 @@ class Transducer:
         return out
 
 
-#: Token classes: insult, threat, target, negation, report, anything else; directed and weakened insults, directed threats.
-I, T, Y, N, R, O = "ITYNRO"
-DIRECTED, WEAK, THREAT = "D", "w", "H"
+#: Token classes: lexicon word, verb of violence, word of intent, intensifier, target, negation, report, anything else.
+L, V, M, X, Y, N, R, O = "LVMXYNRO"
+#: Made of them: insult, open threat; directed and weakened insults, threats with their victim.
+I, T, DIRECTED, WEAK, THREAT = "ITDwH"
+TOKENS = (L, V, M, X, Y, N, R, O)
 ALPHABET = (I, T, Y, N, R, O, DIRECTED, WEAK, THREAT)
 
 
+def insult(reach: int = 2) -> Transducer:
+    """A lexicon word is an insult, a stronger one within `reach` tokens after an intensifier. State k: k more tokens."""
+    t = Transducer()
+    for k in range(reach + 1):
+        t.arcs[k][X] = (reach, O, 1.0)
+        t.arcs[k][L] = (max(0, k - 1), I, 1.25 if k else 1.0)
+        t.other[k] = max(0, k - 1)
+    return t
+
+
+def threat(reach: int = 3) -> Transducer:
+    """A verb of violence opens a threat; a target within `reach` tokens is its victim and completes it, with more weight if a word of intent led to the verb.
+
+    States 0; 1..reach after a word of intent; then as many after a verb, and as many after an intended one.
+    """
+    t = Transducer()
+    for k in range(3 * reach + 1):
+        kind, left = divmod(k - 1, reach) if k else (0, -1)
+        t.other[k] = k - 1 if left > 0 else 0
+        t.arcs[k][M] = (reach, O, 1.0) if kind == 0 else (t.other[k], O, 1.0)
+        meant = k and kind in (0, 2)
+        t.arcs[k][V] = (3 * reach if meant else 2 * reach, T, 1.0)
+        if kind:
+            t.arcs[k][Y] = (0, THREAT, 1.5 if kind == 2 else 1.0)
+    return t
+
+
 def negation(reach: int = 3) -> Transducer:
     """After N, insults and threats within `reach` tokens are weakened. State k: k more tokens."""
     t = Transducer()
@@ -87,6 +123,7 @@ def negation(reach: int = 3) -> Transducer:
         if k:
             t.arcs[k][I] = (k - 1, WEAK, 1.0)
             t.arcs[k][T] = (k - 1, WEAK, 1.0)
+            t.arcs[k][THREAT] = (k - 1, WEAK, 1.0)
     return t
 
 
@@ -96,14 +133,16 @@ def reported() -> Transducer:
     t.arcs[0][R] = (1, R, 1.0)
     t.arcs[1][I] = (1, WEAK, 1.0)
     t.arcs[1][T] = (1, WEAK, 1.0)
+    t.arcs[1][THREAT] = (1, WEAK, 1.0)
     return t
 
 
 def target(reach: int = 4) -> Transducer:
-    """An insult within `reach` tokens after a target is directed, and a threat counts as one."""
+    """An insult within `reach` tokens after a target (or the victim of a threat) is directed, and a threat counts as one."""
     t = Transducer()
     for k in range(reach + 1):
         t.arcs[k][Y] = (reach, Y, 1.0)
+        t.arcs[k][THREAT] = (reach, THREAT, 1.0)
         t.other[k] = max(0, k - 1)
         if k:
             t.arcs[k][I] = (k - 1, DIRECTED, 1.0)
@@ -139,9 +178,15 @@ def compose(a: Transducer, b: Transducer, alphabet: Iterable[str] = ALPHABET) ->
 
 
 def grammar() -> Transducer:
+    """What becomes of insults and threats in their clause."""
     return compose(compose(compose(negation(), reported()), target()), scoring())
 
 
+def machine() -> Transducer:
+    """From token classes to weights: insult and threat composed with the grammar."""
+    return compose(compose(insult(), threat(), (*TOKENS, I)), grammar(), TOKENS)
+
+
 @dataclass
 class Model:
     """words: seed words by class; stems: learned beginnings with weights; then the regression's mean, scale and coefficients."""
@@ -152,7 +197,7 @@ class Model:
     coef: np.ndarray | None = None
 
 
-SEED = {w: c for c, group in ((R, REPORTS), (N, NEGATIONS), (Y, TARGETS), (T, THREATS), (I, INSULTS)) for w in group}
+SEED = {w: c for c, group in ((X, INTENSIFIERS), (M, INTENTS), (R, REPORTS), (N, NEGATIONS), (Y, TARGETS), (V, THREATS), (L, INSULTS)) for w in group}
 SEED_WEIGHT = 4.0
 
 
@@ -173,30 +218,29 @@ class Scorer:
     NAMES = (I, DIRECTED, WEAK, THREAT)
 
     def __init__(self, stems: dict[str, float]):
-        self.stems, self.machine, self.automaton = stems, grammar(), finder(stems)
+        self.stems, self.machine, self.automaton = stems, machine(), finder(stems)
         self.longest = max(map(len, stems), default=0)
         self.shortest = min(map(len, stems), default=1)
 
     def classify(self, word: str) -> tuple[str, float]:
         c = SEED.get(word)
-        if c == I:
+        if c == L:
             return c, SEED_WEIGHT
         best = max((self.stems.get(word[:k], 0.0) for k in range(self.shortest, min(self.longest, len(word)) + 1)), default=0.0)
         if best > 0:
-            return I, best
+            return L, best
         return c or O, 1.0
 
     def clauses(self, text: str) -> Iterator[tuple[int, int]]:
         """Bounds of the clauses of a lower-case text that hold the beginning of a lexicon word."""
-        end = -1
+        end = 0  # of the clause before; what lies before it isn't looked at again, so the whole is linear
         for last, n in self.automaton.iter(text):
             a = last - n + 1
-            if a < end or (a and (text[a - 1].isalnum() or text[a - 1] == "_")):
+            if a < end or a and text[a - 1].isalnum():
                 continue
-            floor = max(end, a - REACH, 0)
-            marks = [m.end() for m in CLAUSE_END.finditer(text, floor, a)]
-            m = CLAUSE_END.search(text, last + 1, last + 1 + REACH)
-            start, end = (marks[-1] if marks else floor), (m.start() if m else min(len(text), last + 1 + REACH))
+            start = max(end, *(text.rfind(x, end, a) + 1 for x in MARKS))
+            m = CLAUSE_END.search(text, last + 1)
+            end = m.start() if m else len(text)
             yield start, end
 
     def features(self, raw: str) -> np.ndarray:
@@ -239,26 +283,25 @@ def learn_stems(texts: list[str], labels: np.ndarray) -> dict[str, float]:
         shorter = [rated[s[:k]][0] for k in STEM if k < len(s) and s[:k] in chosen]
         if not shorter or odds > 1.5 * max(shorter):
             chosen[s] = log(odds)
-        if len(chosen) >= STEMS:
-            break
     return chosen
 
 
-def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Logistic regression by Newton steps; the last coefficient is the constant."""
+def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weighted logistic regression by Newton steps; the last coefficient is the constant."""
     x = np.hstack([x, np.ones((len(x), 1))])
+    v = np.ones(len(x)) if weight is None else weight
     w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (v * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (v * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Stems are learned on one half of the sample and the regression on the other and then both the other way round, so that it sees stems as new texts meet them."""
+def fit(texts: list[str], labels: list[int], share: float | None = None) -> Model:
+    """share: of toxic documents among all, if it isn't that of the sample. Stems are learned on one half of the sample and the regression on the other and then both the other way round, so that it sees stems as new texts meet them."""
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return Model({})
@@ -269,7 +312,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         for i in np.flatnonzero(half != k):
             x[i] = learned.features(texts[i])
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    return Model(learn_stems(texts, y), mean, scale, regress((x - mean) / scale, y))
+    share, here = y.mean() if share is None else share, y.mean()
+    weight = np.where(y == 1, share / here, (1 - share) / (1 - here))
+    return Model(learn_stems(texts, y), mean, scale, regress((x - mean) / scale, y, weight=weight))
 
 
 def probability(model: Model, scorer: Scorer, text: str | None) -> float:
@@ -282,13 +327,19 @@ def probability(model: Model, scorer: Scorer, text: str | None) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n: int = FIT_DOCS) -> Model:
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__sl_id")).agg(F.max(F.col(label_col).cast("int")).alias("__sl_y"))
-    total = max(1, marked.count())
-    chance = int(min(1.0, 1.2 * n / total) * 1_000_000)
-    drawn = marked.where(F.pmod(F.xxhash64("__sl_id"), F.lit(1_000_000)) < chance).orderBy(F.xxhash64("__sl_id")).limit(n)  # n small rows at most
-    rows = docs.where(F.length(text_col) <= FIT_CHARS).join(F.broadcast(drawn), F.col(id_col) == F.col("__sl_id"))
-    sample = rows.select(F.col(text_col).alias("t"), F.col("__sl_y").alias("y"), F.xxhash64("__sl_id").alias("h")).orderBy("h", "t").limit(n).collect()
-    unique = {r["t"]: r["y"] for r in sample}  # copies would count as evidence twice
-    return fit(list(unique), list(unique.values()))
+    marked = cut(marked.withColumn("__sl_h", F.xxhash64("__sl_id")))
+    of = {y: c for y, c in marked.groupBy(F.col("__sl_y") > 0).count().collect()}
+    positive, other = of.get(True, 0), of.get(False, 0)
+    half = min(positive, max(n // 2, n - other))
+    drawn = None
+    for side, total, wanted in ((F.col("__sl_y") > 0, positive, half), (F.col("__sl_y") <= 0, other, n - half)):
+        part = marked.where(side & (F.col("__sl_h") <= draw_below(F.lit(max(1, total)), wanted))).orderBy("__sl_h").limit(wanted)
+        drawn = part if drawn is None else drawn.unionByName(part)
+    rows = docs.where(F.length(text_col) <= FIT_CHARS).join(F.broadcast(drawn), F.col(id_col) == F.col("__sl_id"))  # n narrow rows at most
+    sample = rows.select(F.col(text_col).alias("t"), F.col("__sl_y").alias("y"), F.col("__sl_h").alias("h")).orderBy("h", "t").limit(n).collect()
+    unique = {r["t"]: int(r["y"] > 0) for r in sample}  # copies would count as evidence twice
+    whole = positive + other <= n
+    return fit(list(unique), list(unique.values()), None if whole else positive / (positive + other))
 
 
 def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
