@@ -32,22 +32,27 @@ def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-#: A group of more rows than this is never joined in one place.
-HOT = 10_000
+def row_hash(text_col: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+#: A group of fewer rows than this is no hot one.
+HOT = 1_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """rows joined with their group (one row of `groups` for each key; `size`, dropped here, counts its rows).
+    """rows joined with their group (one stored row of `groups` for each key; `size`, dropped here, counts its rows).
 
-    Groups of over HOT rows, which are a HOT-th of the rows at most, are broadcast, so that no task meets one whole; a number of them that isn't
-    small any more (beyond SMALL * HOT rows in all) goes by the adaptive skew join like the rest.
+    Hot groups are broadcast, so that none meets in one task. They are those of over 1 / SMALL of all rows, so there are SMALL of
+    them at most at any size of the input; the rest is joined by a shuffle.
     """
-    big = groups.where(F.col(size) > HOT).drop(size)
-    n = big.count()
-    if not n or n > SMALL:
+    over = F.col(size) > max(HOT, (groups.agg(F.sum(size)).first()[0] or 0) // SMALL)
+    big = groups.where(over)
+    if big.isEmpty():
         return rows.join(groups.drop(size), key)
-    hot = rows.join(F.broadcast(big), key)
-    cold = rows.join(F.broadcast(big.select(key)), key, "left_anti").join(groups.where(F.col(size) <= HOT).drop(size), key)
+    hot = rows.join(F.broadcast(big.drop(size)), key)
+    cold = rows.join(F.broadcast(big.select(key)), key, "left_anti").join(groups.where(~over).drop(size), key)
     return hot.unionByName(cold)
 
 

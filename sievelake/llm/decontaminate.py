@@ -12,12 +12,15 @@ The documents are scanned once. A bit table of the benchmark's fingerprints, of
 a fixed size, goes along and drops nearly all fingerprints that meet nothing (a
 full table only lets more of them through); the rest is joined by hash, so
 neither side has to fit in one place, and frequent passages are pre-filtered and
-split by the adaptive skew join.
+split by the adaptive skew join. Equal fingerprints of several items, with equal
+words around, are one row with a list of ids, so a passage that many items share
+meets a document once.
 
 Edge cases: a null or blank text has no words; a null or blank item has no
 window; repeated items count once by item_id, items without an id mark words but
-are not listed; repeated rows keep a row each; empty tables give no hits; other
-columns are not read.
+are not listed; repeated rows keep a row each, and rows of one id with other texts
+are told apart by a hash of the text; empty tables give no hits; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import LOWER, as_bytes, cut, slices, small
+from sievelake.llm.common import LOWER, as_bytes, cut, row_hash, slices, small
 from sievelake.llm.textvec import grams, words
 
 W, K = 10, 5
@@ -144,7 +147,7 @@ def bit_table(hashes: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
 
 
 def scan(docs: DataFrame, table: np.ndarray, lengths: list[int], id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_words and the marks that may meet the benchmark, a row for each document."""
+    """doc_id, row_hash (of the text), n_words and the marks that may meet the benchmark, a row for each document."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
     mark = pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
 
@@ -161,10 +164,10 @@ def scan(docs: DataFrame, table: np.ndarray, lengths: list[int], id_col: str, te
             for size, text, pos, g in marks_of(hashes, bounds, lengths, want):
                 for t, p, h in zip(text.tolist(), pos.tolist(), g.view(np.int64).tolist()):
                     found[t].append({"h": h, "pos": p, "size": size} | _around(hashes, int(bounds[t]), int(bounds[t + 1]), int(bounds[t]) + p, size))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array(found, pa.list_(mark))], ["doc_id", "n_words", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(bounds)), pa.array(found, pa.list_(mark))], ["doc_id", "row_hash", "n_words", "marks"])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_words bigint, marks array<struct<{', '.join(x.replace(' ', ': ', 1) for x in MARK.split(', '))}>>")
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_hash(text_col).alias("row_hash"))
+    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, row_hash bigint, n_words bigint, marks array<struct<{', '.join(x.replace(' ', ': ', 1) for x in MARK.split(', '))}>>")
 
 
 def _common(a: str, b: str):
@@ -175,23 +178,23 @@ def _common(a: str, b: str):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, spans (hit word ranges, end exclusive), items (ids as strings, sorted), a row for each document."""
+    """doc_id, row_hash, n_words, n_hit, spans (hit word ranges, end exclusive), items (ids as strings, sorted), a row for each document."""
     items = cut(item_marks(benchmark, item_col, item_text_col))
     lengths = [r["size"] for r in items.where("size > 0").select("size").distinct().collect()]  # W - 1 at most
     seen = cut(scan(docs, bit_table(items.select("h")), sorted(lengths), id_col, text_col).withColumn("rid", F.monotonically_increasing_id()))
     mine = seen.where(F.size("marks") > 0).select("rid", F.explode("marks").alias("m")).select("rid", "m.*")
-    other = items.select("item_id", F.col("h").alias("h2"), F.col("size").alias("size2"), F.col("left").alias("left2"), F.col("right").alias("right2"))
+    other = items.groupBy(F.col("h").alias("h2"), F.col("size").alias("size2"), F.col("left").alias("left2"), F.col("right").alias("right2")).agg(F.collect_set("item_id").alias("ids"))
     met = mine.join(other, (F.col("h") == F.col("h2")) & (F.col("size") == F.col("size2")))
-    met = met.select("rid", "item_id", "pos", "size", _common("left", "left2").alias("a"), _common("right", "right2").alias("b"))
+    met = met.select("rid", "ids", "pos", "size", _common("left", "left2").alias("a"), _common("right", "right2").alias("b"))
     met = met.where(F.when(F.col("size") > 0, F.col("b") == F.col("size")).otherwise((F.col("b") >= K) & (F.col("a") + F.col("b") >= W)))
-    met = met.select("rid", "item_id", F.struct((F.col("pos") - F.col("a")).alias("lo"), (F.col("pos") + F.col("b")).alias("hi")).alias("span"))
-    hits = met.groupBy("rid").agg(F.collect_set("span").alias("spans"), F.collect_set("item_id").alias("items"))  # of one document
-    rows = seen.select("rid", "doc_id", "n_words").join(hits, "rid", "left")
+    met = met.select("rid", "ids", F.struct((F.col("pos") - F.col("a")).alias("lo"), (F.col("pos") + F.col("b")).alias("hi")).alias("span"))
+    hits = met.groupBy("rid").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items"))  # of one document
+    rows = seen.select("rid", "doc_id", "row_hash", "n_words").join(hits, "rid", "left")
     spans = F.sort_array(F.coalesce("spans", F.expr("cast(array() as array<struct<lo: int, hi: int>>)")))
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate("spans", zero, lambda s, x: F.struct((s["n"] + F.greatest(x["hi"] - F.greatest(x["lo"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["hi"]).alias("end")), lambda s: s["n"])
-    rows = rows.select("doc_id", "n_words", spans.alias("spans"), F.array_sort(F.coalesce("items", F.expr("cast(array() as array<string>)"))).alias("items"))
-    return rows.select("doc_id", "n_words", covered.alias("n_hit"), "spans", "items")
+    rows = rows.select("doc_id", "row_hash", "n_words", spans.alias("spans"), F.array_sort(F.coalesce("items", F.expr("cast(array() as array<string>)"))).alias("items"))
+    return rows.select("doc_id", "row_hash", "n_words", covered.alias("n_hit"), "spans", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
@@ -202,5 +205,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that share no window with the benchmark."""
-    bad = cut(contamination(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("__sl_id")).distinct())
-    return docs.join(small(bad), F.col(id_col).eqNullSafe(F.col("__sl_id")), "left_anti")
+    bad = cut(contamination(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("__sl_id"), F.col("row_hash").alias("__sl_hash")).distinct())
+    return docs.join(small(bad), F.col(id_col).eqNullSafe(F.col("__sl_id")) & (row_hash(text_col) == F.col("__sl_hash")), "left_anti")
