@@ -13,8 +13,8 @@ for each line, packed and deflated. Only applying them reads texts again.
 
 Edge cases: a null or empty text is one empty line; repeated rows of one doc_id
 count as one document, each with its own bitmap (equal rows share one); a null
-doc_id counts as one document below all others; an empty table gives an empty
-result; other columns are not read.
+doc_id counts as one document below all others; ids may be of any atomic type with an
+order; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import ascii_lower, cut, slices
+from sievelake.llm.common import ascii_lower, cut, range_parts, row_hash, slices
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BLANK = "\t\n\x0b\x0c\r "
@@ -36,28 +36,41 @@ BLANK = "\t\n\x0b\x0c\r "
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2 (hash), d (document), r (hash of the text: tells repeated rows of an id apart), p (position), for lines of min_chars or more."""
-    picked = docs.select(F.col(id_col).cast("bigint").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    lines = picked.select("d", F.xxhash64("t").alias("r"), F.posexplode(F.split("t", "\n", -1)).alias("p", "line"))
+    picked = docs.select(F.col(id_col).alias("d"), row_hash(text_col).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    lines = picked.select("d", "r", F.posexplode(F.split("t", "\n", -1)).alias("p", "line"))
     key = ascii_lower(F.btrim("line", F.lit(BLANK)))
     return lines.select("d", "r", "p", key.alias("key")).where(F.length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "d", "r", "p")
 
 
-SCAN = "kind tinyint, h1 bigint, h2 bigint, d bigint, r bigint, p int, docs bigint"
+#: {}: the type of the ids.
+SCAN = "kind tinyint, h1 bigint, h2 bigint, d {}, r bigint, p int, docs bigint"
 ROW, SUMMARY, DROP = 0, 1, 2
 
 
 def _scan(min_docs: int):
-    """Over sorted rows: DROP rows that are decided, ROW and SUMMARY rows of the runs at the partition's two edges."""
+    """Over sorted rows: DROP rows that are decided, ROW and SUMMARY rows of the runs at the partition's two edges.
 
-    def out(kind, c, docs=None):
-        n = len(c[0])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *[pa.array(x) for x in c[:2]], pa.array(c[2], mask=c[5]), *[pa.array(x) for x in c[3:5]], pa.array(np.zeros(n, np.int64) if docs is None else docs)], ["kind", "h1", "h2", "d", "r", "p", "docs"])
+    A batch is h1, h2, the ids (integers, or objects for other types; zero where null), r, p and whether the id is null.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind_of_id, zero = pa.int64(), 0
 
-    def summary(h, docs, largest):
-        one = lambda x, t: np.array([x], t)
-        return out(SUMMARY, [one(h[0], np.int64), one(h[1], np.int64), one(largest or 0, np.int64), one(0, np.int64), one(0, np.int32), one(largest is None, bool)], one(docs, np.int64))
+        def ids(column: pa.Array) -> np.ndarray:
+            if pa.types.is_integer(column.type):
+                return column.fill_null(0).to_numpy()
+            out = np.empty(len(column), object)
+            out[:] = column.to_pylist()
+            return out
+
+        def out(kind, c, docs=None):
+            n = len(c[0])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *[pa.array(x) for x in c[:2]], pa.array(c[2], kind_of_id, mask=c[5]), *[pa.array(x) for x in c[3:5]], pa.array(np.zeros(n, np.int64) if docs is None else docs)], ["kind", "h1", "h2", "d", "r", "p", "docs"])
+
+        def summary(h, docs, largest):
+            one = lambda x, t: np.array([x], t)
+            d = one(zero if largest is None else largest, np.int64 if pa.types.is_integer(kind_of_id) else object)
+            return out(SUMMARY, [one(h[0], np.int64), one(h[1], np.int64), d, one(0, np.int64), one(0, np.int32), one(largest is None, bool)], one(docs, np.int64))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of the open run: its hash, documents so far, largest document (its first) and last one. Rows wait
         # in `held` only while fewer than min_docs documents were seen; the partition's first run is never decided here.
         h, docs, largest, last, first, held = None, 0, None, None, True, []
@@ -71,7 +84,7 @@ def _scan(min_docs: int):
                 held.append(c)
             else:
                 for x in [*held, c]:
-                    gone = (x[2] != (largest or 0)) | (x[5] != (largest is None))
+                    gone = (x[2] != (zero if largest is None else largest)) | (x[5] != (largest is None))
                     if gone.any():
                         yield out(DROP, [y[gone] for y in x])
                 held = []
@@ -79,9 +92,11 @@ def _scan(min_docs: int):
         for b in batches:
             if not b.num_rows:
                 continue
+            kind_of_id = b.column(2).type
+            zero = 0 if pa.types.is_integer(kind_of_id) else None
             null = b.column(2).is_null().to_numpy(zero_copy_only=False)
-            c = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).fill_null(0).to_numpy(), b.column(3).to_numpy(), b.column(4).to_numpy(), null]
-            doc_at = lambda i: None if null[i] else int(c[2][i])  # noqa: B023, E731
+            c = [b.column(0).to_numpy(), b.column(1).to_numpy(), ids(b.column(2)), b.column(3).to_numpy(), b.column(4).to_numpy(), null]
+            doc_at = lambda i: None if null[i] else c[2][i]  # noqa: B023, E731
             turn = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])
             new_doc = np.concatenate([[True], turn | (c[2][1:] != c[2][:-1]) | (null[1:] != null[:-1])])
             starts = np.concatenate([[0], np.flatnonzero(turn) + 1])
@@ -122,9 +137,8 @@ def _scan(min_docs: int):
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """d, r, p of each line that goes."""
     rows = line_hashes(docs, id_col, text_col, min_chars)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "h1", "h2", F.desc_nulls_last("d")).sortWithinPartitions("h1", "h2", F.desc_nulls_last("d"), "r", "p")
-    seen = cut(ordered.mapInArrow(_scan(min_docs), SCAN))
+    ordered = rows.repartitionByRange(range_parts(docs), "h1", "h2", F.desc_nulls_last("d")).sortWithinPartitions("h1", "h2", F.desc_nulls_last("d"), "r", "p")
+    seen = cut(ordered.mapInArrow(_scan(min_docs), SCAN.format(rows.schema["d"].dataType.simpleString())))
     edges = seen.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("d").alias("most"))
     edges = edges.where(F.col("docs") >= min_docs).select("h1", "h2", "most")
     # `edges` has two rows for each partition at most
@@ -157,13 +171,13 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(x) for x in b.column(2).to_pylist()], pa.binary())], ["d", "r", "bitmap"])
 
     each = dropped_lines(docs, id_col, text_col, min_chars, min_docs).groupBy("d", "r").agg(F.collect_set("p").alias("p"))  # a document's lines at most
-    return each.mapInArrow(run, "d bigint, r bigint, bitmap binary")
+    return each.mapInArrow(run, f"d {each.schema['d'].dataType.simpleString()}, r bigint, bitmap binary")
 
 
 def _with_bitmaps(docs: DataFrame, columns: list, id_col: str, text_col: str, **limits) -> DataFrame:
     """columns, the text and its bitmap."""
     marks = cut(drop_bitmaps(docs, id_col, text_col, **limits))
-    rows = docs.select(*columns, F.col(id_col).cast("bigint").alias("__sl_d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__sl_r"), F.col(text_col).alias("__sl_t"))
+    rows = docs.select(*columns, F.col(id_col).alias("__sl_d"), row_hash(text_col).alias("__sl_r"), F.col(text_col).alias("__sl_t"))
     marks = marks.select(F.col("d").alias("__sl_d2"), F.col("r").alias("__sl_r2"), "bitmap")
     same = F.col("__sl_d").eqNullSafe(F.col("__sl_d2")) & (F.col("__sl_r") == F.col("__sl_r2"))
     return rows.join(marks.hint("shuffle_hash"), same, "left").drop("__sl_d", "__sl_r", "__sl_d2", "__sl_r2")
