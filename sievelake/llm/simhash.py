@@ -9,10 +9,13 @@ programme finds cheapest for it. Its costs are candidate counts estimated from
 histograms of half-parts, which are counted over all values and have a fixed
 size. A value whose part is crowded (near copies) thus skips that part.
 
-Buckets that stay crowded all the same are not paired up: all their members go
-to an exact path, in which each value is written under itself and its 64
-one-bit neighbours. Two values within two bits share such a key, and a key has
-65 members at most, so the work is linear whatever the skew.
+Buckets that stay crowded all the same (near copies can agree in every group of
+bits, so no further group splits them) are not paired up: their members take the
+pigeonhole's other allocation, all 64 bits as one part, whose threshold of two is
+dealt one to the stored and one to the probing side. Each value is written under
+itself and its 64 one-bit neighbours; two values within two bits share such a
+key, two that share one are within two bits, and a key has 65 members at most, so
+the work is linear and the links the same whatever the skew.
 
 Edge cases: a null, empty or blank text has fingerprint 0 and is linked like any
 other; texts of one or two words are one shingle; repeated rows (also of one
@@ -30,10 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import LOWER, as_bytes, components, cut, slices, small
+from sievelake.llm.common import LOWER, as_bytes, components, cut, join_groups, row_hash, slices, small
 
 BITS, TAU, SHINGLE, SEED = 64, 2, 3, 42
-#: A bucket of more values than this is crowded and takes the exact path.
+#: In a bucket of more values than this, pairs would cost more than the one-part allocation's 65 rows a value: its members take that one.
 CROWDED = 64
 #: Rows written for a probe, in candidates checked: what the dynamic programme weighs signatures with.
 PROBE_COST = 1.0
@@ -69,11 +72,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp bigint, row_hash bigint")
 
 
-def row_hash(text_col: str):
-    """Tells rows of one id apart."""
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-
 def n_parts(n: int, tau: int = TAU) -> int:
     """As many parts as keep the expected bucket of n random values smaller than the probes of fewer parts."""
     def cost(m: int) -> float:
@@ -250,27 +248,27 @@ def links(values: DataFrame, n: int) -> DataFrame:
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """fp, root (of its component) and component_id (the component's smallest doc_id) of each distinct value."""
-    values = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    """fp, root (of its component), component_id (the component's smallest doc_id), rows (of prints with this fp) of each distinct value."""
+    values = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     roots = components(links(values.select("fp"), values.count()))
-    placed = cut(values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.join(least, "root").select("fp", "root", "component_id")
+    placed = cut(values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root")))
+    least = cut(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
+    return cut(join_groups(placed, least, "root", "size").select("fp", "root", "component_id", "rows"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every row."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    return prints.join(grouped(prints), "fp").select("doc_id", "fp", "component_id")
+    return join_groups(prints, grouped(prints), "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with all columns: that of the smallest id (null last), then of the least text hash; of equal rows any one."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    rows = cut(prints.join(grouped(prints), "fp").groupBy("root", "doc_id", "row_hash").agg(F.count("*").alias("n")))
+    rows = cut(join_groups(prints, grouped(prints), "fp", "rows").groupBy("root", "doc_id", "row_hash").agg(F.count("*").alias("n")))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_hash"))
-    best = rows.groupBy("root").agg(F.min(key).alias("best"))
-    rows = cut(rows.join(best, "root").select(F.col("doc_id").alias("__sl_id"), F.col("row_hash").alias("__sl_hash"), "n", key.eqNullSafe(F.col("best")).alias("stays")))
+    best = cut(rows.groupBy("root").agg(F.min(key).alias("best"), F.count("*").alias("size")))
+    rows = cut(join_groups(rows, best, "root", "size").select(F.col("doc_id").alias("__sl_id"), F.col("row_hash").alias("__sl_hash"), "n", key.eqNullSafe(F.col("best")).alias("stays")))
     same = F.col(id_col).eqNullSafe(F.col("__sl_id")) & (row_hash(text_col) == F.col("__sl_hash"))
     out = docs.join(small(cut(rows.where("not stays").select("__sl_id", "__sl_hash"))), same, "left_anti")
     again = cut(rows.where("stays and n > 1").select("__sl_id", "__sl_hash"))
