@@ -8,9 +8,13 @@ subtrees, closed details and dialogs, comments, and in SVG and MathML titles,
 definitions and annotations. A layout engine fed by the events emits
 all other text: blocks on lines of their own, blank lines round paragraphs,
 headings, lists and tables, list markers with nested indents, preformatted text
-as it is, and table cells padded to their columns; formulas are inline, each text of a drawing and
-row of a formula has a line of its own. It keeps stacks instead of
-recursing, so nesting may be of any depth.
+as it is, and table cells padded to their columns, with column and row spans as
+HTML defines them (spans of over 1000 columns or 65534 rows are of that many);
+formulas are inline, each text of a drawing and row of a formula has a line of its
+own. It keeps stacks instead of recursing, and of each name the places of its open
+elements, so a tag costs the same at any depth. Layout has limits, text has none:
+indents stop growing at MAX_INDENT, alignment at columns of MAX_WIDTH and lines of
+MAX_LINE, and tables inside MAX_TABLES others are set as plain rows.
 
 Edge cases: a null page gives null text, an empty one empty text; text outside
 any tag is shown, and ends an open head; an unclosed tag at the end is dropped; repeated rows are
@@ -20,6 +24,7 @@ rendered each; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -64,6 +69,10 @@ IMPLIED = {k: (frozenset(v.split()), b) for k, (v, b) in IMPLIED.items()}
 #: An end tag doesn't close anything beyond these.
 SCOPE = frozenset("table td th caption html template".split())
 LISTS = frozenset("ul ol menu dir".split())
+#: Blanks up to which nested blocks are indented, columns and lines are padded; nested tables that are aligned; cells that reach down at once.
+MAX_INDENT, MAX_WIDTH, MAX_LINE, MAX_TABLES, MAX_DOWN = 200, 500, 2000, 50, 1000
+#: The most columns and rows of a cell.
+MAX_COLUMNS, MAX_ROWS = 1000, 65534
 
 TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|(?P<decl>[!?][^>]*(?:>|\Z))|(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>)""", re.S)
 #: A tag with a quote that isn't closed ends at the next >.
@@ -142,44 +151,48 @@ def events(page: str) -> Iterator[tuple[str, str, dict, str]]:
     stack: list[str] = []
     spaces: list[str] = []  # of each open element: svg or math for its children, empty for HTML
     own: list[str] = []  # the same for the element itself
+    html_at: list[int] = []  # places of open elements whose children are HTML
+    at: dict[str, list[int]] = {}  # of each name: where its open elements are in the stack
     foreign = [""]
 
     def close(k: int) -> Iterator[tuple[str, str, dict, str]]:
         while len(stack) > k:
-            spaces.pop()
+            if not spaces.pop():
+                html_at.pop()
+            at[stack[-1]].pop()
             yield "end", stack.pop(), {}, own.pop()
 
     def put(x: str, inside: str, space: str) -> None:
+        at.setdefault(x, []).append(len(stack))
+        if not inside:
+            html_at.append(len(stack))
         stack.append(x)
         spaces.append(inside)
         own.append(space)
-        count[x] = count.get(x, 0) + 1
 
-    count: dict[str, int] = {}  # of open elements, so that a search of the stack is made only if it can succeed
+    def innermost(names: frozenset) -> int:
+        return max((at[n][-1] for n in names if at.get(n)), default=-1)
 
     def find(names: frozenset, barrier: frozenset) -> int:
         """The outermost open element of names inside the innermost barrier, or -1."""
-        best = -1
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k] in barrier:
-                break
-            if stack[k] in names:
-                best = k
-        return best
-
-    p = frozenset(["p"])
+        inside, best = innermost(barrier), len(stack)
+        for n in names:
+            if places := at.get(n):
+                k = bisect_right(places, inside)
+                if k < len(places):
+                    best = min(best, places[k])
+        return best if best < len(stack) else -1
+
+    p, head, html = frozenset(["p"]), frozenset(["head"]), frozenset(["html"])
     stop = frozenset("table td th caption html body button".split())
     for kind, x, attrs in tokens(page, foreign):
         if kind == "text":
             if stack and stack[-1] == "head" and x.strip(" \t\n\r\f"):
-                yield from _counted(close(len(stack) - 1), count)
+                yield from close(len(stack) - 1)
             yield kind, x, attrs, ""
         elif kind == "start":
             if spaces and spaces[-1] and x in BREAKOUT:
-                k = len(stack)
-                while k and spaces[k - 1]:
-                    k -= 1
-                yield from _counted(close(k), count)
+                yield from close(html_at[-1] + 1 if html_at else 0)
             foreign[0] = space = x if x in FOREIGN_HIDDEN else spaces[-1] if spaces else ""
             if space and x not in FOREIGN_HIDDEN:
                 yield kind, x, attrs, space
@@ -188,16 +201,14 @@ def events(page: str) -> Iterator[tuple[str, str, dict, str]]:
                 else:
                     put(x, "" if x in INTEGRATION[space] else space, space)
                 continue
-            if x in ("html", "body", "head") and count.get(x):
+            if x in ("html", "body", "head") and at.get(x):
                 continue
-            if x == "body" and count.get("head") and (k := find(frozenset(["head"]), frozenset(["html"]))) >= 0 or x not in HIDDEN and x not in ("html", "head") and count.get("head") and stack[-1] == "head" and (k := len(stack) - 1) >= 0:
-                yield from _counted(close(k), count)
-            if x in IMPLIED:
-                names, barrier = IMPLIED[x]
-                if any(count.get(n) for n in names) and (k := find(names, barrier)) >= 0:
-                    yield from _counted(close(k), count)
-            if x in CLOSES_P and count.get("p") and (k := find(p, stop)) >= 0:
-                yield from _counted(close(k), count)
+            if x == "body" and (k := find(head, html)) >= 0 or x not in HIDDEN and x not in ("html", "head") and stack and stack[-1] == "head" and (k := len(stack) - 1) >= 0:
+                yield from close(k)
+            if x in IMPLIED and (k := find(*IMPLIED[x])) >= 0:
+                yield from close(k)
+            if x in CLOSES_P and at.get("p") and (k := find(p, stop)) >= 0:
+                yield from close(k)
             yield kind, x, attrs, space
             if x in VOID or space and "/" in attrs:
                 yield "end", x, {}, space
@@ -206,20 +217,11 @@ def events(page: str) -> Iterator[tuple[str, str, dict, str]]:
         elif x == "br":
             yield "start", "br", {}, ""
             yield "end", "br", {}, ""
-        elif count.get(x):
-            k = find(frozenset([x]), SCOPE - {x}) if x not in ("html", "body", "table") else max(i for i, n in enumerate(stack) if n == x)
-            if k >= 0 and x not in ("html", "body"):
-                inner = max(i for i in range(k, len(stack)) if stack[i] == x)
-                yield from _counted(close(inner), count)
+        elif at.get(x) and x not in ("html", "body") and (x == "table" or at[x][-1] > innermost(SCOPE - {x} if x in SCOPE else SCOPE)):
+            yield from close(at[x][-1])
     yield from close(0)
 
 
-def _counted(ends: Iterator, count: dict[str, int]) -> Iterator:
-    for e in ends:
-        count[e[1]] -= 1
-        yield e
-
-
 class Flow:
     """Lines of one flow (the page, or a table cell)."""
 
@@ -228,7 +230,7 @@ class Flow:
         self.buf: list[str] = []
         self.space = False
         self.gap = 0
-        self.indent = ""
+        self.indent = 0
         self.marker: str | None = None
 
     def text(self, s: str) -> None:
@@ -256,7 +258,7 @@ class Flow:
         if self.gap > 1 and self.lines:
             self.lines.append("")
         self.gap = 0
-        self.lines.append((self.indent if self.marker is None else self.marker) + line)
+        self.lines.append((self.marker or "").ljust(min(self.indent, MAX_INDENT)) + line)
         self.marker = None
 
     def rest(self, gap: int) -> None:
@@ -282,33 +284,58 @@ class Flow:
         return "\n".join(self.lines)
 
 
-def grid(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Table rows as lines; cells are padded to their column, two blanks apart, and may have several lines."""
-    widths: list[int] = []
-    split = [[(cell.split("\n"), span) for cell, span in row] for row in rows]
-    for row in split:
-        c = 0
-        for cell, span in row:
-            widths += [0] * (c + span - len(widths))
-            if span == 1:
-                widths[c] = max(widths[c], max(map(len, cell)))
-            c += span
-    for row in split:  # a spanning cell widens its last column if it must
-        c = 0
-        for cell, span in row:
-            if span > 1:
-                have = sum(widths[c : c + span]) + 2 * (span - 1)
-                widths[c + span - 1] += max(0, max(map(len, cell)) - have)
+def span_of(value: str | None, most: int, least: int = 1) -> int:
+    """A span as HTML reads it: leading digits, clamped; 1 if there are none."""
+    m = re.match(r"[ \t\n\r\f]*\+?([0-9]+)", value or "")
+    if not m:
+        return 1
+    digits = m[1].lstrip("0")
+    return max(least, most if len(digits) > 9 else min(most, int(digits or 0)))
+
+
+def placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
+    """(first column, end column, text) of each row's cells; cells that reach down from rows above take their columns first. A row span of 0 reaches to the end."""
+    down: list[tuple[int, int, int]] = []  # columns and the row before which it ends
+    out = []
+    for r, row in enumerate(rows):
+        down = sorted(x for x in down if x[2] > r)
+        here, c, k, more = [], 0, 0, []
+        for text, span, deep in row:
+            while k < len(down) and down[k][0] <= c:  # a cell begins at the next free column
+                c = max(c, down[k][1])
+                k += 1
+            here.append((c, c + span, text))
+            if deep != 1 and len(down) + len(more) < MAX_DOWN:
+                more.append((c, c + span, r + deep if deep else len(rows)))
             c += span
+        down += more
+        out.append(here)
+    return out
+
+
+def grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Table rows as lines; cells are padded to their column, two blanks apart, and may have several lines. Columns in which no cell begins have no width."""
+    cells = [[(a, e, text.split("\n")) for a, e, text in row] for row in placed(rows)]
+    starts = sorted({a for row in cells for a, _, _ in row})
+    cells = [[(bisect_left(starts, a), bisect_left(starts, e), text) for a, e, text in row] for row in cells]
+    widths = [0] * len(starts)
+    for row in cells:
+        for a, e, text in row:
+            if e - a == 1:
+                widths[a] = max(widths[a], min(MAX_WIDTH, max(map(len, text))))
+    for a, e, text in sorted((x for row in cells for x in row if x[1] - x[0] > 1), key=lambda x: (x[1] - x[0], x[0])):  # a spanning cell widens its last column if it must
+        widths[e - 1] += max(0, min(MAX_WIDTH, max(map(len, text))) - sum(widths[a:e]) - 2 * (e - a - 1))
+    left = [0]
+    for w in widths:
+        left.append(min(MAX_LINE, left[-1] + w + 2))
     out = []
-    for row in split:
-        for k in range(max((len(cell) for cell, _ in row), default=0)):
-            parts, c = [], 0
-            for cell, span in row:
-                wide = sum(widths[c : c + span]) + 2 * (span - 1)
-                parts.append((cell[k] if k < len(cell) else "").ljust(wide))
-                c += span
-            out.append("  ".join(parts).rstrip())
+    for row in cells:
+        for k in range(max((len(text) for _, _, text in row), default=0)):
+            line = ""
+            for a, _, text in row:
+                if k < len(text) and text[k]:
+                    line = line.ljust(max(left[a], len(line) + 2) if line else left[a]) + text[k]
+            out.append(line.rstrip())
     return [x for x in out if x]
 
 
@@ -351,21 +378,24 @@ def render(page: str) -> str:
                 flow.br()
             elif x == "table":
                 flow.rest(2)
-                tables.append({"rows": [], "cell": None, "depth": len(flows), "caption": None})
+                tables.append({"rows": [], "cell": None, "depth": len(flows), "caption": None, "flat": len(tables) >= MAX_TABLES})
+            elif x in ("tr", "td", "th", "caption") and tables and tables[-1]["flat"]:
+                flow.text(" ")
+                if x in ("tr", "caption"):
+                    flow.rest(1)
             elif x == "tr":
                 if tables:
                     tables[-1]["rows"].append([])
             elif x in ("td", "th", "caption") and tables:
                 flows.append(Flow())
-                span = attrs.get("colspan", "1")
-                tables[-1]["cell"] = min(int(span), 100) or 1 if span.isascii() and span.isdigit() and len(span) < 5 else 1
+                tables[-1]["cell"] = span_of(attrs.get("colspan"), MAX_COLUMNS), span_of(attrs.get("rowspan"), MAX_ROWS, 0)
             elif x in LISTS:
                 flow.rest(1 if lists else 2)
                 start = attrs.get("start", "1")
                 lists.append([x, int(start) if start.lstrip("-").isascii() and start.lstrip("-").isdigit() and len(start) < 10 else 1, flow.indent])
             elif x == "li":
                 flow.rest(1)
-                base = lists[-1][2] if lists else ""
+                base = lists[-1][2] if lists else 0
                 if lists and lists[-1][0] == "ol":
                     value = attrs.get("value", "")
                     if value.isascii() and value.isdigit() and len(value) < 10:
@@ -374,13 +404,13 @@ def render(page: str) -> str:
                     lists[-1][1] += 1
                 else:
                     mark = "- "
-                flow.marker, flow.indent = base + mark, base + " " * len(mark)
+                flow.marker, flow.indent = " " * min(base, MAX_INDENT) + mark, base + len(mark)
             elif x == "dd":
                 flow.rest(1)
-                flow.indent += "    "
+                flow.indent += 4
             elif x == "blockquote":
                 flow.rest(2)
-                flow.indent += "  "
+                flow.indent += 2
             elif x == "pre":
                 flow.rest(2)
                 pre += 1
@@ -406,13 +436,15 @@ def render(page: str) -> str:
         if x == "table" and tables:
             table = tables.pop()
             flow.flush()
-            rows = [r for r in table["rows"] if r]
+            if table["flat"]:
+                flow.rest(2)
+                continue
+            rows = table["rows"]
             if table["caption"]:
                 for line in table["caption"].split("\n"):
                     flow.put(line)
-            if rows:
-                for line in grid(rows):
-                    flow.put(line)
+            for line in grid(rows):
+                flow.put(line)
             flow.rest(2)
         elif x in ("td", "th", "caption") and tables and len(flows) > tables[-1]["depth"]:
             done = flows.pop().result()
@@ -421,7 +453,7 @@ def render(page: str) -> str:
             else:
                 if not tables[-1]["rows"]:
                     tables[-1]["rows"].append([])
-                tables[-1]["rows"][-1].append((done, tables[-1]["cell"] or 1))
+                tables[-1]["rows"][-1].append((done, *(tables[-1]["cell"] or (1, 1))))
         elif x in LISTS:
             flow.rest(1 if len(lists) > 1 else 2)
             if lists:
@@ -430,13 +462,13 @@ def render(page: str) -> str:
         elif x == "li":
             flow.rest(1)
             flow.marker = None
-            flow.indent = lists[-1][2] if lists else ""
+            flow.indent = lists[-1][2] if lists else 0
         elif x == "dd":
             flow.rest(1)
-            flow.indent = flow.indent[:-4]
+            flow.indent = max(0, flow.indent - 4)
         elif x == "blockquote":
             flow.rest(2)
-            flow.indent = flow.indent[:-2]
+            flow.indent = max(0, flow.indent - 2)
         elif x == "pre":
             pre -= 1
             raw, flow.buf, flow.space = "".join(flow.buf), [], False
