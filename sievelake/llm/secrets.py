@@ -2,16 +2,18 @@
 
 A pattern's matches come from regexp_extract_all and their places from the gaps
 that split() leaves between them; both see the same leftmost, non-overlapping
-matches, and the expensive expressions run only on texts that match at all.
-
-Entropy: candidate strings are long runs of key characters with a digit. Over
-each, a window of W characters slides; entering and leaving characters change an
-array of counts and the sum of c * log2(c) by two terms, so a step costs the
-same whatever the window. A window is hot if its entropy reaches the threshold of
-the candidate's character class (hexadecimal or wider). The span runs from the
-first hot window to the end of the last. Candidates on the allow list (UUIDs,
-placeholders, named checksums, paths of words) and spans that touch a
-pattern's span are suppressed.
+matches, and the expensive expressions run only on texts that match at all. Places
+are prefix sums, and overlaps prefix maxima, of blocks of sqrt(n) elements, so a text
+may hold any number of matches.
+
+Entropy: candidate strings are long runs of key characters. The first class of
+CLASSES that a candidate belongs to gives its threshold; one of no class (a run with
+separators but no digit) is no candidate. Over each, a window of W characters slides;
+entering and leaving characters change an array of counts and the sum of c * log2(c)
+by two terms, so a step costs the same whatever the window. A window is hot if its
+entropy reaches the threshold. The span runs from the first hot window to the end of
+the last. Candidates on the allow list (UUIDs, named checksums, runs of words), spans
+that hold a placeholder, and spans that touch a pattern's span are suppressed.
 
 No Python runs on rows and nothing is shuffled. Edge cases: a null text is empty
 and has no spans; repeated rows are scanned each; other columns are not read.
@@ -19,6 +21,7 @@ and has no spans; repeated rows are scanned each; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
@@ -33,32 +36,65 @@ KINDS = (
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 W = 20
-#: Least entropy in bits of a window, by character class; log2(20) = 4.32 is the most there can be.
-HEX_BITS, WIDE_BITS = 2.9, 3.7
-#: Candidates that are no secrets: UUIDs, placeholders, runs of words joined by dashes, slashes or underscores with numbers.
+#: Character classes and the least entropy in bits of a window; log2(20) = 4.32 is the most there can be.
+CLASSES = (
+    ("digits", r"^[0-9]+$", 2.9),
+    ("hexadecimal", r"^[0-9a-fA-F]*[0-9][0-9a-fA-F]*$", 2.9),
+    ("letters", r"^[a-zA-Z]*([a-z][A-Z]|[A-Z][a-z])[a-zA-Z]*$", 3.95),
+    ("one_case", r"^([a-z0-9]+|[A-Z0-9]+)$", 3.5),
+    ("alphanumeric", r"^[A-Za-z0-9]+$", 3.7),
+    ("base64", r"[0-9]", 3.7),
+)
+#: Candidates that are no secrets: UUIDs, checksums, runs of words joined by dashes, slashes or underscores with numbers, capitalised words.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|changeme|placeholder|your_|xxxx|dummy",
     r"(?i)^(sha1|sha256|sha384|sha512|md5)[-=]",
     r"^[/_=-]*([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})([/_=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=-]*$",
+    r"^([a-z]{2,})?([A-Z][a-z]{2,})*$",
 )
+#: Spans that hold one of these are placeholders.
+PLACEHOLDER = r"(?i)example|changeme|placeholder|your_|xxxx|dummy"
 SPAN = "array<struct<start: int, kind: int, end: int>>"
 
 
-def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Spans of the pattern's matches whose group has at least `least` characters."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefix(values: Column, op: Callable[[Column, Column], Column], zero: int) -> Column:
+    """What op makes of zero and all elements before each one (integers). Blocks of sqrt(n) elements are folded, then the blocks, so about n * sqrt(n) elements are copied."""
+    empty = F.struct(F.lit(zero).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+
+    def fold(array: Column, of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(array, empty, lambda s, x: F.struct(op(s["at"], of(x)).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    def whole(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: F.slice(v, b * width + 1, width))
+        return let(F.transform(blocks, lambda b: fold(b, lambda x: x)), lambda done: F.flatten(F.zip_with(done, fold(done, lambda d: d["at"])["out"], lambda d, before: F.transform(d["out"], lambda x: op(before, x).cast("int")))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.expr("cast(array() as array<int>)")))
+
+
+def places(text: Column, pattern: str, found: Column) -> Column:
+    """The starts of the pattern's matches `found`."""
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    size = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
-    tested = size if group == 0 else F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x))
-    rows = F.arrays_zip(gaps.alias("gap"), size.alias("size"), tested.alias("tested"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
 
-    def step(s, x):
-        start = s["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"))
-        return F.struct((start + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(x["tested"] >= least, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+    def starts(gap_and_size: Column) -> Column:
+        ends = prefix(F.transform(gap_and_size, lambda x: x["gap"] + x["size"]), lambda a, b: a + b, 0)
+        return F.zip_with(ends, gap_and_size, lambda end, x: end + x["gap"])
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda s: s["out"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return let(F.filter(F.zip_with(gaps, F.transform(found, lambda x: F.length(x)), lambda g, n: F.struct(g.alias("gap"), n.alias("size"))), lambda x: x["size"].isNotNull()), starts)
+
+
+def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
+    """Spans of the pattern's matches whose group has at least `least` characters."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    tested = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    rows = F.arrays_zip(places(text, pattern, found).alias("start"), found.alias("word"), tested.alias("tested"))
+    spans = F.transform(F.filter(rows, lambda x: F.length(x["tested"]) >= least), lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["word"])).alias("end")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
 def hot_range(codes: Column, bits: Column, window: int = W) -> Column:
@@ -85,31 +121,47 @@ def hot_range(codes: Column, bits: Column, window: int = W) -> Column:
     return F.aggregate(twice, zero, lambda a, c: F.when(c == -2, judge(a)).otherwise(step(a, c)), lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
+def threshold(word: Column) -> Column:
+    """The least entropy of a candidate of this class; null if it is of none or allowed."""
+    allowed, bits = F.lit(False), F.lit(None).cast("double")
+    for pattern in ALLOWED:
+        allowed = allowed | word.rlike(pattern)
+    for _, pattern, least in reversed(CLASSES):
+        bits = F.when(word.rlike(pattern), least).otherwise(bits)
+    return F.when(~allowed, bits)
+
+
 def entropy_spans(text: Column, kind: int) -> Column:
     """Spans of high entropy in the candidate strings."""
-    gaps = F.transform(F.split(text, CANDIDATE, -1), lambda x: F.length(x))
-    rows = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("word"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, word: string>>)").alias("out"))
-
-    def place(s, x):
-        start = s["at"] + x["gap"]
-        wanted = x["word"].rlike("[0-9]")
-        for allowed in ALLOWED:
-            wanted = wanted & ~x["word"].rlike(allowed)
-        here = F.struct(start.alias("start"), x["word"].alias("word"))
-        return F.struct((start + F.coalesce(F.length(x["word"]), F.lit(0))).alias("at"), F.when(wanted, F.concat(s["out"], F.array(here))).otherwise(s["out"]).alias("out"))
-
-    found = F.aggregate(rows, zero, place, lambda s: s["out"])
+    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    rows = F.transform(F.arrays_zip(places(text, CANDIDATE, found).alias("start"), found.alias("word")), lambda x: F.struct(x["start"].alias("start"), x["word"].alias("word"), threshold(x["word"]).alias("bits")))
+
     def measure(x):
         codes = F.transform(F.split(x["word"], ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-        bits = F.when(x["word"].rlike("^[0-9a-fA-F]+$"), HEX_BITS).otherwise(WIDE_BITS)
-        return F.struct(x["start"].alias("start"), hot_range(F.filter(codes, lambda c: c >= 0), bits).alias("hot"))
+        return F.struct(x["start"].alias("start"), x["word"].alias("word"), hot_range(F.filter(codes, lambda c: c >= 0), x["bits"]).alias("hot"))
 
-    hot = F.filter(F.transform(found, measure), lambda x: x["hot"]["first"] >= 0)
+    hot = F.transform(F.filter(rows, lambda x: x["bits"].isNotNull()), measure)
+    hot = F.filter(hot, lambda x: (x["hot"]["first"] >= 0) & ~F.substring(x["word"], x["hot"]["first"] + 1, x["hot"]["last"] - x["hot"]["first"]).rlike(PLACEHOLDER))
     spans = F.transform(hot, lambda x: F.struct((x["start"] + x["hot"]["first"]).alias("start"), F.lit(kind).alias("kind"), (x["start"] + x["hot"]["last"]).alias("end")))
     return F.when(text.rlike(CANDIDATE), spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
+def apart(extra: Column, base: Column) -> Column:
+    """The spans of extra (in order, none meeting another) that meet none of base: by the running maximum of base's ends over both, sorted."""
+    marks = F.concat(
+        F.transform(base, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("kind"), x["end"].alias("end"))),
+        F.transform(extra, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("end"))),
+    )
+
+    def ends(m: Column) -> Column:
+        before = prefix(F.transform(m, lambda x: x["end"]), lambda a, b: F.greatest(a, b), -1)
+        both = F.zip_with(m, before, lambda x, e: F.struct(x["kind"].alias("kind"), e.alias("reach")))
+        return F.filter(both, lambda x: x["kind"] == 0)
+
+    kept = F.zip_with(extra, let(F.array_sort(marks), ends), lambda x, e: F.when(e["reach"] <= x["start"], x))
+    return F.when((F.size(base) > 0) & (F.size(extra) > 0), F.filter(kept, lambda x: x.isNotNull())).otherwise(extra)
+
+
 NAMES = [k for k, *_ in KINDS] + ["entropy"]
 
 
@@ -124,8 +176,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__sl_t"))
     text = F.col("__sl_t")
     rows = rows.select("doc_id", F.concat(*[matches(text, p, k, g, n) for k, (_, p, g, n) in enumerate(KINDS)]).alias("base"), entropy_spans(text, len(KINDS)).alias("extra"))
-    free = F.filter("extra", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return rows.select("doc_id", "base", free.alias("extra"))
+    return rows.select("doc_id", "base", apart(F.col("extra"), F.col("base")).alias("extra"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -115,7 +115,17 @@ WITH d AS (
 ), base AS (
   SELECT rid, ord, kind, s::INT AS s, (s + length(w))::INT AS e FROM y WHERE length(g) >= (CASE ord WHEN 0 THEN 6 WHEN 1 THEN 20 WHEN 2 THEN 24 END)
 ), cand AS (
-  SELECT rid, w, s::INT AS s, CASE WHEN regexp_full_match(w, '[0-9a-fA-F]+') THEN 2.9 ELSE 3.7 END AS bits FROM y WHERE ord = 3 AND regexp_matches(w, '[0-9]') AND NOT regexp_matches(w, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') AND NOT regexp_matches(w, '(?i)example|changeme|placeholder|your_|xxxx|dummy') AND NOT regexp_matches(w, '(?i)^(sha1|sha256|sha384|sha512|md5)[-=]') AND NOT regexp_matches(w, '^[/_=-]*([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})([/_=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=-]*$')
+  SELECT * FROM (
+    SELECT rid, w, s::INT AS s, CASE
+      WHEN regexp_full_match(w, '[0-9]+') THEN 2.9
+      WHEN regexp_full_match(w, '[0-9a-fA-F]+') AND regexp_matches(w, '[0-9]') THEN 2.9
+      WHEN regexp_full_match(w, '[A-Za-z]+') AND lower(w) <> w AND upper(w) <> w THEN 3.95
+      WHEN regexp_full_match(w, '[A-Za-z0-9]+') AND (lower(w) = w OR upper(w) = w) THEN 3.5
+      WHEN regexp_full_match(w, '[A-Za-z0-9]+') THEN 3.7
+      WHEN regexp_matches(w, '[0-9]') THEN 3.7 END AS bits
+    FROM y WHERE ord = 3 AND NOT regexp_matches(w, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') AND NOT regexp_matches(w, '(?i)^(sha1|sha256|sha384|sha512|md5)[-=]')
+      AND NOT regexp_matches(w, '^[/_=-]*([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})([/_=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=-]*$') AND NOT regexp_full_match(w, '([a-z]{2,})?([A-Z][a-z]{2,})*')
+  ) WHERE bits IS NOT NULL
 ), win AS (
   SELECT rid, w, s, bits, unnest(range(0, length(w) - 19)) AS i FROM cand
 ), ch AS (
@@ -123,7 +133,9 @@ WITH d AS (
 ), ent AS (
   SELECT rid, s, i FROM ch GROUP BY rid, s, i, bits HAVING -sum(n / 20 * log2(n / 20)) >= bits
 ), extra AS (
-  SELECT rid, 3 AS ord, 'entropy' AS kind, (s + min(i))::INT AS s, (s + max(i) + 20)::INT AS e FROM ent GROUP BY rid, s
+  SELECT rid, 3 AS ord, 'entropy' AS kind, (s + a)::INT AS s, (s + b)::INT AS e
+  FROM (SELECT rid, s, min(i) AS a, max(i) + 20 AS b FROM ent GROUP BY rid, s) JOIN cand USING (rid, s)
+  WHERE NOT regexp_matches(substr(w, a + 1, b - a), '(?i)example|changeme|placeholder|your_|xxxx|dummy')
 ), spans AS (
   SELECT * FROM base
   UNION ALL
