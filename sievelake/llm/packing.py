@@ -5,8 +5,9 @@ the histogram of piece lengths (one number per length, whatever the corpus
 size): the driver solves bin packing over it and gets patterns, a multiset of
 lengths with a multiplicity. Executors then deal pieces to the patterns' slots
 by their rank among the pieces of equal length. Ranks come from a window over
-(length, salt) with a salt that keeps every group small, and prefix sums of the
-groups' counts, so no length, however frequent, meets in one task. Full pieces
+(length, salt), with as many salts as a length's pieces need to keep every group
+small, and prefix sums of the groups' counts, so no length, however frequent, and no
+document, however often repeated, meets in one task. Full pieces
 need no packing.
 
 The solver: best-fit decreasing on counts gives the first incumbent; if it isn't
@@ -14,10 +15,20 @@ at the lower bound (the better of the sum bound and Martello and Toth's L2), a
 depth-first bin completion takes the largest length left, enumerates its
 fillings by least waste, of any number of pieces, commits each to as many bins as
 counts allow, prunes by the waste that a better packing can still afford, and
-completes nodes by best fit for new incumbents. Two passes look at a few fillings of
-each node; the last one at all undominated ones, each in full, half and single
-multiplicity. `nodes` bounds the passes, `nodes` / 10 or `nodes` the sets tried at a
-node, and `rounds` the searches of parts; none bounds the input.
+completes nodes by best fit for new incumbents. Passes for incumbents go deep along
+fillings of little waste, found exactly by the sums that the pieces can reach (a bit
+for each sum): of the fewest pieces within the waste that a better packing can have,
+then of least waste with the fewest, the longest, or random pieces. The last pass looks
+at all undominated fillings (those whose pieces don't fit into the pieces of
+another), each in full, half and single multiplicity. Rounds of the same search
+then re-pack parts of the incumbent.
+
+What bounds the effort, never the input: `nodes` (an eighth of them, or two for each
+length, for each pass, half for the last; a tenth of them for the sets tried at one of
+its nodes), WIDTH, FEW and SPARE for the passes before, `rounds`, which end early
+after PATIENCE of them without a gain, and PART_BINS, the bins of a part. With nodes=None
+the last pass has no bounds: it ends only when every packing that could be better is
+ruled out (exact, and exponential).
 
 Edge cases: a null or empty text has the end token only; repeated rows are
 packed each; an empty table gives an empty result; other columns are not read.
@@ -44,8 +55,12 @@ from sievelake.llm.common import cut, slices
 LENGTH, END = 1024, 2
 #: A text is encoded in parts of about so many characters.
 PART = 1 << 18
-#: Pieces in a group that is ranked in one task, about.
-GROUP = 50_000
+#: Pieces of one length that are ranked together, about.
+GROUP = 500
+#: Fillings tried at a node of the first pass; rounds without a gain that end the search; bins that a round re-packs.
+WIDTH, PATIENCE, PART_BINS = 4, 8, 450
+#: Pieces up to which the fewest are looked for; tokens of waste up to which fewer pieces are preferred.
+FEW, SPARE = 4, 31
 #: The most rows of ranks' offsets that are broadcast; more are joined by a shuffle.
 SMALL = 200_000
 
@@ -207,39 +222,60 @@ def lower_bound(counts: dict[int, int], cap: int) -> int:
     return best
 
 
-def fillings(first: int, counts: dict[int, int], cap: int, sizes: list[int] | None = None, width: int = 4, tries: int = 400) -> list[tuple[int, ...]]:
-    """A quick choice of fillings of a bin that holds `first`, least waste first, then fewest pieces.
+def fillings(first: int, counts: dict[int, int], cap: int, sizes: list[int] | None = None, width: int | None = WIDTH, draw: Random | None = None, few: int = 0) -> list[tuple[int, ...]]:
+    """Of each of the `width` least wastes that a bin with `first` can have (of every one if None), one filling.
 
-    Longest pieces come first in the search, each length in as many copies as fit and
-    then in fewer. One set of fewest pieces is kept of each total, a few branches of
-    each step are followed, and a full bin ends the search: `all_fillings` leaves
-    none out. sizes: the lengths in ascending order; tries: the sets tried.
+    It is the one of fewest pieces if up to `few` are enough, else one with the longest pieces, or with pieces drawn at random.
     """
     sizes = sorted(counts) if sizes is None else sizes
-    room, least, left = cap - first, sizes[0], tries
-    found: dict[int, tuple[int, ...]] = {room: ()}
-
-    def extend(free: int, top: int, picked: tuple[int, ...]) -> bool:
-        nonlocal left
-        if free not in found or len(found[free]) > len(picked):
-            found[free] = picked
-        if free < least:
-            return free == 0
-        k, branches = min(bisect_right(sizes, free) - 1, top), 6 if picked else 40
-        while k >= 0 and branches and left > 0:
-            s = sizes[k]
-            n = min(counts[s] - (s == first), free // s)
-            branches -= n > 0
-            while n > 0 and left > 0:
-                left -= 1
-                if extend(free - n * s, k - 1, (*picked, *(s,) * n)):
-                    return True
-                n -= 1
-            k -= 1
-        return False
-
-    extend(room, len(sizes) - 1, ())
-    return [found[w] for w in sorted(found)[:width]]
+    room = cap - first
+    own = {s: n for s in sizes[: bisect_right(sizes, room)] if (n := min(counts[s] - (s == first), room // s))}
+    order = list(own)
+    if draw:
+        draw.shuffle(order)
+    sums, stages, mask = 1, [], (1 << room + 1) - 1
+    for s in order:
+        stages.append(sums)
+        n, step = own[s], 1
+        while n:
+            k = min(step, n)
+            sums |= sums << s * k
+            n, step = n - k, step * 2
+        sums &= mask
+    layers = [1]  # sums of 0, 1, 2, ... pieces, copies not counted
+    for _ in range(few):
+        more = 0
+        for s in own:
+            more |= layers[-1] << s
+        layers.append(more & mask)
+    out: list[tuple[int, ...]] = []
+    while sums and (width is None or len(out) < width):
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        picked = _fewest(total, order, own, layers) if few else None
+        if picked is None:
+            picked = []
+            for s, before in zip(reversed(order), reversed(stages)):
+                if not total:
+                    break
+                k = next(k for k in range(min(own[s], total // s), -1, -1) if before >> total - k * s & 1)
+                picked += [s] * k
+                total -= k * s
+        out.append(tuple(sorted(picked, reverse=True)))
+    return out
+
+
+def _fewest(total: int, sizes: list[int], own: dict[int, int], layers: list[int]) -> list[int] | None:
+    """As few pieces as make up the total, the longest first; None if the layers don't tell."""
+    n = next((n for n, sums in enumerate(layers) if sums >> total & 1), None)
+    picked: list[int] = []
+    for k in range(n or 0, 0, -1):
+        s = next((s for s in reversed(sizes) if s <= total and layers[k - 1] >> total - s & 1 and picked.count(s) < own[s]), None)
+        if s is None:
+            return None
+        picked.append(s)
+        total -= s
+    return None if n is None else picked
 
 
 def all_fillings(first: int, counts: dict[int, int], cap: int, sizes: list[int] | None = None, tries: int | None = None) -> Iterator[tuple[int, ...]]:
@@ -282,7 +318,7 @@ def fits_into(pieces: tuple[int, ...], spaces: tuple[int, ...]) -> bool:
     return True
 
 
-def complete(counts: dict[int, int], cap: int, nodes: int = 3000, rounds: int = 20, bins_a_round: int = 450) -> Plan:
+def complete(counts: dict[int, int], cap: int, nodes: int | None = 3000, rounds: int = 40) -> Plan:
     """Patterns and multiplicities of a packing of all pieces (none longer than cap).
 
     After a search over everything, rounds of it re-pack parts of the incumbent:
@@ -290,10 +326,10 @@ def complete(counts: dict[int, int], cap: int, nodes: int = 3000, rounds: int =
     seed), a problem small enough for the search to end well.
     """
     counts = {s: n for s, n in counts.items() if n}
-    least, draw = lower_bound(counts, cap), Random(0)
+    least, draw, stale = lower_bound(counts, cap), Random(0), 0
     best = search(counts, cap, best_fit(counts, cap), nodes)
-    for k in range(rounds):
-        if size_of(best) <= least:
+    for k in range(rounds if nodes else 0):
+        if size_of(best) <= least or stale == PATIENCE:
             break
         bins: Counter = Counter()
         for pattern, n in best:
@@ -306,7 +342,7 @@ def complete(counts: dict[int, int], cap: int, nodes: int = 3000, rounds: int =
             loose.sort(key=lambda p: (sum(p) - cap) * draw.uniform(0.5, 1))  # those with most room first, about
         part: Counter = Counter()
         for p in loose + full:
-            free = (bins_a_round * 2 // 3 if sum(p) < cap else bins_a_round) - part.total()
+            free = (PART_BINS * 2 // 3 if sum(p) < cap else PART_BINS) - part.total()
             if free > 0:
                 part[p] = min(bins[p], free, 40 if sum(p) < cap else 2)
         inner: Counter = Counter()
@@ -314,7 +350,9 @@ def complete(counts: dict[int, int], cap: int, nodes: int = 3000, rounds: int =
             for s in p:
                 inner[s] += n
         again = search(dict(inner), cap, list(part.items()), nodes)
+        stale += 1
         if size_of(again) < part.total():
+            stale = 0
             bins.subtract(part)
             for p, n in again:
                 bins[p] += n
@@ -326,16 +364,25 @@ def size_of(plan: Plan) -> int:
     return sum(n for _, n in plan)
 
 
-def search(counts: dict[int, int], cap: int, best: Plan, nodes: int) -> Plan:
-    """Depth-first bin completion from the incumbent `best`: two quick passes, then one that leaves nothing out but what `nodes` cuts off."""
+def search(counts: dict[int, int], cap: int, best: Plan, nodes: int | None) -> Plan:
+    """Depth-first bin completion from the incumbent `best`: passes along fillings of little waste, then one that leaves nothing out but what `nodes` cuts off."""
     least, total = lower_bound(counts, cap), sum(s * n for s, n in counts.items())
     bins = size_of(best)
 
-    def children(rest: dict[int, int], plan: Plan, used: int, waste: int, tries: int, whole: bool) -> Iterator[tuple[dict[int, int], Plan, int, int]]:
+    def tried(rest: dict[int, int], used: int, waste: int, way: str | Random) -> Iterable[tuple[int, ...]]:
+        """The fillings of a node, in the order of the pass."""
         sizes = sorted(rest)
-        first = sizes[-1]
+        if way == "all":
+            return all_fillings(sizes[-1], rest, cap, sizes, nodes and nodes // 10)
+        if way != "spare":
+            return fillings(sizes[-1], rest, cap, sizes, WIDTH, way if isinstance(way, Random) else None, FEW if way == "few" else 0)
+        share = ((bins - 1) * cap - total - waste) // max(1, bins - 1 - used)  # the waste that each further bin of a better packing can have
+        return sorted(fillings(sizes[-1], rest, cap, sizes, max(WIDTH, min(share, SPARE) + 1), None, FEW), key=lambda x: (cap - sizes[-1] - sum(x) > share, len(x), -sum(x)))
+
+    def children(rest: dict[int, int], plan: Plan, used: int, waste: int, way: str | Random) -> Iterator[tuple[dict[int, int], Plan, int, int]]:
+        first, whole = max(rest), way == "all"
         later = []
-        for more in all_fillings(first, rest, cap, sizes, tries) if whole else fillings(first, rest, cap, sizes, tries=tries):
+        for more in tried(rest, used, waste, way):
             need = Counter((first, *more))
             most = min(rest[s] // k for s, k in need.items())
             for times in sorted({most, (most + 1) // 2, 1} if whole else {most}, reverse=True):
@@ -347,20 +394,28 @@ def search(counts: dict[int, int], cap: int, best: Plan, nodes: int) -> Plan:
             yield commit(rest, plan, used, waste, (first, *more), need, times)
 
     def commit(rest, plan, used, waste, pattern, need, times):
-        after = {s: n - times * need[s] for s, n in rest.items() if n > times * need[s]}
+        after = dict(rest)
+        for s, k in need.items():
+            after[s] -= times * k
+            if not after[s]:
+                del after[s]
         return after, [*plan, (pattern, times)], used + times, waste + times * (cap - sum(pattern))
 
-    for tries, whole in ((nodes // 10, False), (nodes, False), (nodes // 10, True)):  # a longer look at each filling after a short one
-        left_nodes = nodes // 3
+    for way in ("spare", "few", "long", Random(len(counts)), "all"):
+        if not nodes and way != "all":
+            continue
+        left_nodes = nodes and max(nodes // (2 if way == "all" else 8), 2 * len(counts))  # enough for a whole dive
         stack = [iter([(counts, [], 0, 0)])]
-        while stack and left_nodes and bins > least:
+        while stack and left_nodes != 0 and bins > least:
             node = next(stack[-1], None)
             if node is None:
                 stack.pop()
                 continue
-            left_nodes -= 1
+            if left_nodes:
+                left_nodes -= 1
             rest, plan, used, waste = node
-            if used + lower_bound_sum(rest, cap) >= bins or waste > (bins - 1) * cap - total:
+            # what is left needs (all - packed) / cap bins at least, so the waste so far bounds the whole
+            if waste > (bins - 1) * cap - total:
                 continue
             if not rest:
                 best, bins = plan, used
@@ -369,14 +424,10 @@ def search(counts: dict[int, int], cap: int, best: Plan, nodes: int) -> Plan:
                 tail = best_fit(rest, cap)
                 if (n := used + size_of(tail)) < bins:
                     best, bins = plan + tail, n
-            stack.append(children(*node, tries, whole))
+            stack.append(children(*node, way))
     return best
 
 
-def lower_bound_sum(counts: dict[int, int], cap: int) -> int:
-    return -(-sum(s * n for s, n in counts.items()) // cap)
-
-
 def slots(plan: Plan) -> dict[str, np.ndarray]:
     """Where the pieces of each length go, by rank: arrays over segments sorted by (length, first rank)."""
     taken, base, rows = Counter(), 0, []
@@ -398,13 +449,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     pieces = cut(tokenized(docs, tokenizer or default_tokenizer(), length, end, id_col, text_col).withColumn("__sl_n", F.monotonically_increasing_id()))
     short = pieces.where(F.col("length") < length)
     counts = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `length` rows at most
-    salts = 1 << max(0, (sum(counts.values()) // GROUP).bit_length())
-    salted = short.withColumn("__sl_s", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
+    salts = [1 + counts.get(k, 0) // GROUP for k in range(length)]
+    salted = short.withColumn("__sl_s", F.pmod(F.xxhash64("__sl_n"), F.get(F.lit(salts), F.col("length").cast("int"))).cast("int"))
     groups = salted.groupBy("length", "__sl_s").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("__sl_s").rowsBetween(Window.unboundedPreceding, -1))
     groups = cut(groups.select(F.col("length").alias("__sl_l"), F.col("__sl_s").alias("__sl_g"), F.coalesce(before, F.lit(0).cast("bigint")).alias("__sl_before")))
     ranked = salted.withColumn("__sl_rank", F.row_number().over(Window.partitionBy("length", "__sl_s").orderBy("doc_id", "start", "__sl_n")) - 1)
-    few = salts * length <= SMALL
+    few = sum(salts) <= SMALL
     ranked = ranked.join(F.broadcast(groups) if few else groups, (F.col("length") == F.col("__sl_l")) & (F.col("__sl_s") == F.col("__sl_g")))
     sent = spark.sparkContext.broadcast(slots(complete(counts, length, nodes)))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
