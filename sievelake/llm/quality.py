@@ -4,6 +4,12 @@ No user function runs: tokenising, ratios and the repeated-window count are
 built-in expressions over the row, so the operator is one narrow scan of any
 size, without a shuffle.
 
+The stop-word and word-length rules hold for writing with letters and spaces, so
+they are asked only of texts with about as many runs of Latin letters as words; texts
+in other scripts are judged by the other rules alone. A Latin-script language whose
+function words STOP_WORDS doesn't have loses its texts of 40 words or more to the
+stop-word rule: give the table further words, or `rules` without it, for such corpora.
+
 Edge cases: a null text has no words (all counts 0, base_failed true); an empty
 text likewise. Repeated rows are scored row by row. Extra columns are ignored.
 """
@@ -17,33 +23,39 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import words_of
 
-#: Function words of the corpus' languages; a text that has none of them is a list, a table or noise.
-STOP_WORDS = (
-    "the of and to in a is that for on with as was are by be this at or from it an have not"
-    " de la le les et des en un une du que qui dans pour par sur au aux il elle est pas avec ce"
-    " der die das und von zu den mit ist im dem ein eine nicht für auf sich als auch es werden"
-    " el los las y del que se por una con para no su al lo como más"
-).split()
+#: Frequent function words by language; a text that has none of them is a list, a table or noise.
+STOP_WORDS_BY_LANGUAGE = {
+    "en": "the of and to in a is that for on with as was are by be this at or from it an have not",
+    "fr": "de la le les et des en un une du que qui dans pour par sur au aux il elle est pas avec ce",
+    "de": "der die das und von zu den mit ist im dem ein eine nicht für auf sich als auch es werden",
+    "es": "el los las y del que se por una con para no su al lo como más",
+    "it": "di che non per sono della", "pt": "os não uma com foi mais", "nl": "het een van dat niet zijn", "sv": "och att det som är på", "da no": "og er ikke til af av",
+    "fi": "ja on ei että oli mutta", "pl": "na nie się że jest do", "cs sk": "je že jsem tak ako", "hu": "és hogy nem egy az volt", "ro": "și în nu cu care este", "tr": "ve bir bu için ile da",
+    "id ms": "yang dan ini itu dengan untuk", "vi": "và của là có không được", "sw": "ya wa kwa ni katika", "hr sl": "da su koji kako ki", "lt lv": "ir kad yra un ar",
+}
+STOP_WORDS = tuple(dict.fromkeys(w for words in STOP_WORDS_BY_LANGUAGE.values() for w in words.split()))
 
 WINDOW = 5
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a document whose metric lies outside [low, high]; only texts of at least `words` words are asked."""
+    """Rejects a document whose metric lies outside [low, high]; only texts of at least `words` words, and for which `asked` holds, are asked."""
 
     name: str
     metric: str
     low: float | None = None
     high: float | None = None
     words: int = 0
+    asked: str | None = None
 
 
 #: The thresholds. Metrics are SQL over the counted columns, so this table can be kept in a configuration.
+LATIN = "2 * n_latin >= n_words"
 RULES = (
-    Rule("mean_word_length", "word_chars / n_words", 2.0, 14.0),
+    Rule("mean_word_length", "word_chars / n_words", 2.0, 14.0, 0, LATIN),
     Rule("symbols_per_word", "n_symbols / n_words", None, 0.25),
-    Rule("stop_words", "n_stop_words / n_words", 0.02, None, 40),
+    Rule("stop_words", "n_stop_words / n_words", 0.02, None, 40, LATIN),
     Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.6),
     Rule("stuttering", "n_adjacent / n_words", None, 0.3),
     Rule("upper_case_words", "n_upper_words / n_words", None, 0.6, 20),
@@ -55,7 +67,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     text = F.col("__sl_text")
     step = docs.select(*[F.col(c) for c in dict.fromkeys((id_col, *keep))], F.coalesce(F.col(text_col), F.lit("")).alias("__sl_text"))
     names = step.columns[:-1]
-    step = step.select(*names, words_of(text).alias("__sl_w"), F.split(text, "\n").alias("__sl_l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
+    step = step.select(*names, words_of(text).alias("__sl_w"), F.split(text, "\n").alias("__sl_l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.regexp_count(text, F.lit("[A-Za-z]+")).cast("long").alias("n_latin"))
     w, lines = F.col("__sl_w"), F.col("__sl_l")
     n = F.size(w)
     window = F.when(
@@ -65,6 +77,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     step = step.select(
         *names,
         "n_symbols",
+        "n_latin",
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.size(F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
@@ -95,7 +108,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 
 WORD_IN = r"[^\x20\x09-\x0D]"
-COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper_words", "n_adjacent", "n_lines")
+COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper_words", "n_adjacent", "n_lines", "n_latin")
 
 
 def _same(s: Column, x: Column, k: Column) -> Column:
@@ -117,7 +130,7 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
             ok &= F.coalesce(m >= F.lit(rule.low), F.lit(True))
         if rule.high is not None:
             ok &= F.coalesce(m <= F.lit(rule.high), F.lit(True))
-        out[rule.name] = ok | (F.col("n_words") < rule.words)
+        out[rule.name] = ok | (F.col("n_words") < rule.words) | (F.lit(False) if rule.asked is None else ~F.expr(rule.asked))
     return out
 
 

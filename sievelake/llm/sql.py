@@ -4,7 +4,23 @@ STOP = (
     "'the','of','and','to','in','a','is','that','for','on','with','as','was','are','by','be','this','at','or','from','it','an','have','not',"
     "'de','la','le','les','et','des','en','un','une','du','que','qui','dans','pour','par','sur','au','aux','il','elle','est','pas','avec','ce',"
     "'der','die','das','und','von','zu','den','mit','ist','im','dem','ein','eine','nicht','für','auf','sich','als','auch','es','werden',"
-    "'el','los','las','y','del','se','por','una','con','para','no','su','al','lo','como','más'"
+    "'el','los','las','y','del','se','por','una','con','para','no','su','al','lo','como','más',"
+    "'di','che','non','per','sono','della',"
+    "'os','não','uma','com','foi','mais',"
+    "'het','een','van','dat','niet','zijn',"
+    "'och','att','det','som','är','på',"
+    "'og','er','ikke','til','af','av',"
+    "'ja','ei','että','oli','mutta',"
+    "'na','nie','się','że','jest','do',"
+    "'je','že','jsem','tak','ako',"
+    "'és','hogy','nem','egy','az','volt',"
+    "'și','în','nu','cu','care','este',"
+    "'ve','bir','bu','için','ile','da',"
+    "'yang','dan','ini','itu','dengan','untuk',"
+    "'và','của','là','có','không','được',"
+    "'ya','wa','kwa','ni','katika',"
+    "'koji','kako','ki',"
+    "'ir','kad','yra','ar'"
 )
 
 OP2 = rf"""
@@ -34,7 +50,7 @@ WITH d AS (
   FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid
 ), x AS (
   SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
-         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '[A-Za-z]+')) AS n_latin, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
          coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(n_stop, 0) AS n_stop, coalesce(n_upper, 0) AS n_upper, coalesce(n_adjacent, 0) AS n_adjacent,
          coalesce(n_lines, 0) AS n_lines
   FROM d LEFT JOIN agg USING (rid) LEFT JOIN ln USING (rid) LEFT JOIN covered c USING (rid)
@@ -43,9 +59,9 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed
-       AND coalesce(word_chars::DOUBLE / nullif(n_words, 0) BETWEEN 2.0 AND 14.0, true)
+       AND coalesce(2 * n_latin < n_words OR word_chars::DOUBLE / nullif(n_words, 0) BETWEEN 2.0 AND 14.0, true)
        AND coalesce(n_symbols::DOUBLE / nullif(n_words, 0) <= 0.25, true)
-       AND (n_words < 40 OR n_stop::DOUBLE / n_words >= 0.02)
+       AND (n_words < 40 OR 2 * n_latin < n_words OR n_stop::DOUBLE / n_words >= 0.02)
        AND coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0) <= 0.6, true)
        AND coalesce(n_adjacent::DOUBLE / nullif(n_words, 0) <= 0.3, true)
        AND (n_words < 20 OR n_upper::DOUBLE / n_words <= 0.6) AS kept

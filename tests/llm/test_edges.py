@@ -85,3 +85,54 @@ def test_many_matches_in_one_text(spark):
         want += [(m.start(), k, m.end()) for m in re.finditer(p, text) if len(m[g]) >= n]
     assert sorted((x.start, x.kind, x.end) for x in got[1].base) == sorted(want) and len(want) >= 50_000
     assert got[1].extra == [] and got[2].base == got[3].base == []
+
+
+def test_warc_ids_of_any_text_and_cleared_folders(spark):
+    import os
+
+    from sievelake.llm import warc
+
+    ids = ["a\r\nb", "100%", " x ", "é:y", "", "a\nWARC-Type: revisit", "%0D"]
+    rows = [(i, f"http://h/\n{k}", f"page {k % 5} " * 40) for k, i in enumerate(ids)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    shared = common.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(shared))
+    got = {r.page_id: r for r in warc.round_trip(spark, pages).collect()}
+    assert set(got) == {*ids, None} and len(got) == len(rows)
+    for k in (0, 1):
+        first, again = sorted(i for i, _, h in rows if h and h.startswith(f"page {k} "))
+        assert got[first].record_type == "response" and got[again].record_type == "revisit" and got[again].refers_to == first
+    assert not [x for x in set(os.listdir(shared)) - before if x.startswith("warc-")]
+
+
+def test_warc_reads_by_the_length_of_records(spark, tmp_path):
+    from sievelake.llm import warc
+
+    pages = spark.createDataFrame([(k, f"u{k}", H.text(k, 200)) for k in range(300)], "page_id bigint, url string, html string").repartition(2)
+    index = warc.write(pages, f"file://{tmp_path}/w")
+    back = warc.read(index, f"file://{tmp_path}/w", payloads=False, block=20_000)
+    assert back.rdd.getNumPartitions() == -(-sum(r.length for r in index.collect()) // 20_000) > 4
+    assert sorted(int(r.id) for r in back.collect()) == list(range(300))
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
+
+
+def test_quality_rules_keep_other_scripts_and_languages(spark):
+    from sievelake.llm import quality
+
+    russian = " ".join(f"Старый город стоит на берегу широкой реки номер {k} и помнит много разных событий." for k in range(9))
+    thai = " ".join(f"ประเทศไทยมีภูมิประเทศหลากหลายและวัฒนธรรมเก่าแก่มากแห่งหนึ่ง{k}" for k in range(60))
+    polish = " ".join(f"Rzeka płynie {k} razy przez stare miasto, że nikt nie wie, skąd się bierze jej woda." for k in range(9))
+    turkish = " ".join(f"Eski şehir {k} yıl önce bir nehir ve dağ için kuruldu, bu yüzden herkes onu bilir." for k in range(9))
+    noise = " ".join(f"qzx{k} vbnm{k} lkjh{k} poiu{k}" for k in range(20))
+    rows = [(1, russian), (2, thai), (3, polish), (4, turkish), (5, noise), (6, None), (7, "")]
+    got = {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[k].failed_rules for k in (1, 2, 3, 4)] == [[]] * 4 and got[5].failed_rules == ["stop_words"]
+    assert all(got[k].kept != got[k].base_failed for k in (1, 2, 3, 4)) and not got[6].kept and not got[7].kept
