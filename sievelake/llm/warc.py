@@ -8,7 +8,8 @@ read. Of equal payloads the smallest id becomes the response and the others
 revisit records that refer to it; first ids come from a pre-aggregated minimum by
 digest, kept only for digests that repeat.
 
-Reading: the selected index rows are dealt by archive and block of offsets, sorted,
+Reading: the selected index rows are dealt by archive and block of offsets to as
+many tasks as their lengths call for (the index rows' own size says nothing), sorted,
 and neighbouring ranges are joined into single reads; each record is unzipped,
 parsed and checked against its digest.
 
@@ -18,26 +19,29 @@ local, HDFS or an object store.
 Edge cases: a null html is an empty payload; a null url leaves the target URI
 out; empty and small payloads are always responses; a repeated id with one
 payload is a response each time if it is the smallest (a null id only if no other
-has the payload); an empty table gives an empty result; other columns are not read.
+has the payload); line breaks and percent signs in ids are escaped in the archive,
+line breaks in URLs too; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import cut, shared_dir, slices
+from sievelake.llm.common import cut, remove, shared_dir, slices
 
 MIN_REVISIT = 100
-#: An archive is closed at this size; reads join ranges up to READ bytes over gaps of GAP bytes at most.
+#: An archive is closed at this size; a task reads a sixteenth of it, about; reads join ranges up to READ bytes over gaps of GAP bytes at most.
 ARCHIVE, READ, GAP = 256 << 20, 8 << 20, 64 << 10
 #: Repeated digests (about 100 bytes each) up to this number are broadcast; more are joined by a shuffle.
 SMALL = 50_000
@@ -52,6 +56,11 @@ def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return where, path
 
 
+def _field(value: str) -> str:
+    """A header value that holds no line break and keeps its outer blanks; unquote() gives it back."""
+    return re.sub(r"[%\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
 def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC record, uncompressed. A revisit keeps the HTTP header, which has the payload's length, without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -60,10 +69,10 @@ def record(page_id: str | None, url: str | None, payload: bytes, digest: str, re
     if url is not None:
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if page_id is not None:
-        fields.append(("X-Page-Id", page_id))
+        fields.append(("X-Page-Id", _field(page_id)))
     fields.append(("WARC-Payload-Digest", f"sha256:{digest}"))
     if refers_to is not None:
-        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", refers_to)]
+        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", _field(refers_to))]
     fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(body)))]
     return "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + body + b"\r\n\r\n"
 
@@ -81,7 +90,8 @@ def parse(data: bytes) -> dict:
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if fields["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"payload of page {fields.get('X-Page-Id')} differs from its digest")
-    return {"id": fields.get("X-Page-Id"), "url": fields.get("WARC-Target-URI"), "type": fields["WARC-Type"], "payload_bytes": size, "payload_digest": digest, "refers_to": fields.get("X-Refers-To-Page-Id"), "payload": payload}
+    page, first = (unquote(x, errors="strict") if (x := fields.get(k)) is not None else None for k in ("X-Page-Id", "X-Refers-To-Page-Id"))
+    return {"id": page, "url": fields.get("WARC-Target-URI"), "type": fields["WARC-Type"], "payload_bytes": size, "payload_digest": digest, "refers_to": first, "payload": payload}
 
 
 def first_ids(pages: DataFrame, id_col: str, html_col: str, least: int = MIN_REVISIT) -> DataFrame:
@@ -179,13 +189,17 @@ def read(selected: DataFrame, folder: str, payloads: bool = True, block: int = A
     kinds = {c: kinds.get(c, pa.string()) for c in names}
     schema = "id string, url string, type string, payload_bytes bigint, payload_digest string, refers_to string" + ", payload binary" * payloads
     part = F.floor(F.col("offset") / block)
-    dealt = selected.select("archive", "offset", "length").repartition("archive", part).sortWithinPartitions("archive", "offset")
+    tasks = max(1, -(-(selected.agg(F.sum("length")).first()[0] or 0) // block))
+    dealt = selected.select("archive", "offset", "length").repartition(tasks, "archive", part).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(run, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Archives all pages in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Archives all pages in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to. The archives go when they are read."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     kind = pages.schema[id_col].dataType
-    back = read(write(pages, folder, id_col, url_col, html_col), folder, payloads=False)
+    try:
+        back = cut(read(write(pages, folder, id_col, url_col, html_col), folder, payloads=False))
+    finally:
+        remove(spark, folder)
     return back.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))
