@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sievelake.llm import decontaminate, lines, packing, quality, simhash
-from sievelake.llm.common import shared_dir, table
+from sievelake.llm.common import remove, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's table goes when the next one is written, the last one's is the result's."""
     docs = table(spark, sf_dir, "documents")
-    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    top, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{top}/{k}-{name}")
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
