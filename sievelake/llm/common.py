@@ -66,10 +66,6 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 #: Bytes that A-Z are lowered in.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SLICE = 1 << 20

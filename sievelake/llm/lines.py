@@ -1,7 +1,8 @@
 """Line dedup: lines found in many documents stay in one of them.
 
 Every long enough line becomes a row of its 128-bit hash, its document and its
-position; texts are never shuffled for the search. The rows are range-partitioned
+position, stored once, as the range partitioner reads them twice; texts are never
+shuffled for the search. The rows are range-partitioned
 by (hash, document) and sorted by (hash, document descending, position), so that a
 task streams over runs of equal hashes and holds one counter. A run that reaches
 a partition's edge may go on in the next one (a frequent line fills many
@@ -25,21 +26,45 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import ascii_lower, cut, range_parts, row_hash, slices
+from sievelake.llm.common import LOWER, as_bytes, cut, range_parts, row_hash, slices
 
 MIN_CHARS, MIN_DOCS = 20, 3
-BLANK = "\t\n\x0b\x0c\r "
+BLANK = b"\t\n\x0b\x0c\r "
+
+
+def hashed(text: bytes, min_chars: int = MIN_CHARS) -> tuple[list[int], list[bytes]]:
+    """Positions and 128-bit hashes of the lines whose key has min_chars or more."""
+    at, hashes, digest = [], [], xxhash.xxh3_128_digest
+    for p, line in enumerate(text.translate(LOWER).split(b"\n")):
+        key = line.strip(BLANK)
+        # a code point has four bytes at most
+        if len(key) >= min_chars and (len(key) >= 4 * min_chars or key.isascii() or len(key.decode()) >= min_chars):
+            at.append(p)
+            hashes.append(digest(key))
+    return at, hashes
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2 (hash), d (document), r (hash of the text: tells repeated rows of an id apart), p (position), for lines of min_chars or more."""
-    picked = docs.select(F.col(id_col).alias("d"), row_hash(text_col).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    lines = picked.select("d", "r", F.posexplode(F.split("t", "\n", -1)).alias("p", "line"))
-    key = ascii_lower(F.btrim("line", F.lit(BLANK)))
-    return lines.select("d", "r", "p", key.alias("key")).where(F.length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "d", "r", "p")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2):
+            row, at, hashes = [], [], []
+            for i, text in enumerate(as_bytes(b.column(2))):
+                p, h = hashed(text, min_chars)
+                row += [i] * len(p)
+                at += p
+                hashes += h
+            h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), b.column(0).take(row), b.column(1).take(row), pa.array(at, pa.int32())], ["h1", "h2", "d", "r", "p"])
+
+    picked = docs.select(F.col(id_col).alias("d"), row_hash(text_col).alias("r"), F.col(text_col).alias("t"))
+    return picked.mapInArrow(run, f"h1 bigint, h2 bigint, d {picked.schema['d'].dataType.simpleString()}, r bigint, p int")
 
 
 #: {}: the type of the ids.
@@ -136,7 +161,7 @@ def _scan(min_docs: int):
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """d, r, p of each line that goes."""
-    rows = line_hashes(docs, id_col, text_col, min_chars)
+    rows = cut(line_hashes(docs, id_col, text_col, min_chars))
     ordered = rows.repartitionByRange(range_parts(docs), "h1", "h2", F.desc_nulls_last("d")).sortWithinPartitions("h1", "h2", F.desc_nulls_last("d"), "r", "p")
     seen = cut(ordered.mapInArrow(_scan(min_docs), SCAN.format(rows.schema["d"].dataType.simpleString())))
     edges = seen.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("d").alias("most"))
