@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.functions.arrays import let, sums_before
 from sievelake.functions.text import explode_lines, split_lines
 from sievelake.operators.rules import hit, shaped
 from sievelake.operators.scope import in_scope, in_scope_range
@@ -50,13 +51,15 @@ def call_rule(files: DataFrame, content: str = "content", keep: tuple[str, ...]
     """
     text = F.col(content)
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    rows = files.where(text.rlike(CALL)).select(*keep, split_lines(text).alias("__l"), F.arrays_zip(
-        F.transform(F.split(text, CALL, -1), breaks).alias("gap"), F.transform(F.regexp_extract_all(text, F.lit(CALL), F.lit(0)), breaks).alias("own"),
-    ).alias("__m"))
-    zero = F.struct(F.lit(1).alias("line"), F.expr("cast(array() as array<int>)").alias("out"))
-    step = lambda a, x: F.struct((a["line"] + x["gap"] + F.coalesce(x["own"], F.lit(0))).alias("line"), F.when(x["own"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["line"] + x["gap"]))).alias("out"))
-    rows = rows.select(*keep, "__l", F.explode(F.aggregate("__m", zero, step, lambda a: a["out"])).alias("n"))
-    window = F.slice("__l", F.col("n"), F.lit(WINDOW))
-    rows = rows.withColumns({"__t": F.array_join(window, "\n"), "__e": F.col("n") + F.size(window) - 1})
+    matched = F.zip_with(F.transform(F.split(text, CALL, -1), breaks), F.transform(F.regexp_extract_all(text, F.lit(CALL), F.lit(0)), breaks), lambda gap, own: F.struct(gap.alias("gap"), own.alias("own")))
+
+    def begun(m: Column) -> Column:
+        return F.zip_with(sums_before(F.transform(m, lambda x: x["gap"] + x["own"])), m, lambda before, x: before + x["gap"] + 1)
+
+    # each call takes its own window along, not the file's lines
+    numbers = let(F.filter(matched, lambda x: x["own"].isNotNull()), begun)
+    windows = let(split_lines(text), lambda lines: F.transform(numbers, lambda n: F.struct(n.alias("n"), F.slice(lines, n, F.lit(WINDOW)).alias("w"))))
+    rows = files.where(text.rlike(CALL)).select(*keep, F.explode(windows).alias("__c"))
+    rows = rows.select(*keep, F.col("__c.n").alias("n"), F.array_join("__c.w", "\n").alias("__t"), (F.col("__c.n") + F.size("__c.w") - 1).alias("__e"))
     open_ = ~F.col("__t").rlike(HANDLED) & ~F.col("__t").rlike(FREEZE) & in_scope_range(F.col("changed_lines"), F.col("n"), F.col("__e"))
     return shaped(rows, F.array(hit(15, open_, F.col("n"))), *[k for k in keep if k != "changed_lines"])

@@ -135,7 +135,7 @@ def _hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffs.line_numbers(_hunks(spark, sf_dir), ["o"], "body").groupBy("o").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return _hunks(spark, sf_dir).select("o", diffs.changed_lines(c("body")).alias("lines")).where(F.size("lines") > 0)
 
 
 def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.functions.arrays import let, most_before, sums_before
 from sievelake.functions.text import LINE_ENDS, split_lines, strip_side, unquoted
 
 #: The forms of a file header (each side may be quoted on its own) and of a hunk header.
@@ -37,24 +38,33 @@ def item_status(renamed: Column, new: Column, deleted: Column) -> Column:
     return F.when(renamed, "renamed").when(new, "added").when(deleted, "deleted").otherwise("modified")
 
 
-def line_numbers(parts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, line: the new file's line numbers that a diff touches, by running sums over its lines.
+def changed_lines(block: Column) -> Column:
+    """The new file's line numbers that a block of a diff touches, sorted.
 
     A removed line stands for the line that follows it; lines before the first
-    hunk, and in a hunk that starts at 0, count for nothing.
+    hunk, and in a hunk that starts at 0, count for nothing. All of it is array
+    expressions over the block's own lines, so nothing is exploded or shuffled.
     """
-    lines = parts.select(*keys, F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
-    start = F.when(F.col("line").rlike(HUNK), F.regexp_extract("line", HUNK, 1).try_cast("int"))
-    plus = F.col("line").startswith("+") & ~F.col("line").startswith("+++")
-    minus = F.col("line").startswith("-") & ~F.col("line").startswith("---")
-    lines = lines.select(*keys, "pos", start.alias("start"), plus.alias("plus"), minus.alias("minus"))
-    so_far = Window.partitionBy(*keys).orderBy("pos")
-    lines = lines.withColumn("hunk", F.count("start").over(so_far))
-    lines = lines.withColumn("first", F.last("start", ignorenulls=True).over(so_far))
-    moves = F.when(F.col("start").isNotNull() | F.col("minus"), 0).otherwise(1)
-    before = F.coalesce(F.sum(moves).over(Window.partitionBy(*keys, "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("line", (F.col("first") + before).cast("int"))
-    return lines.where((F.col("first") > 0) & F.col("start").isNull() & (F.col("plus") | F.col("minus"))).select(*keys, "line")
+    plus = lambda x: x.startswith("+") & ~x.startswith("+++")
+    minus = lambda x: x.startswith("-") & ~x.startswith("---")
+
+    def marked(line: Column, k: Column) -> Column:
+        start = F.when(line.rlike(HUNK), F.regexp_extract(line, HUNK, 1).try_cast("int"))
+        return F.struct(start.alias("start"), F.when(start.isNotNull(), k).otherwise(-1).alias("header"), (start.isNull() & (plus(line) | minus(line))).alias("touched"), F.when(start.isNotNull() | minus(line), 0).otherwise(1).alias("moves"))
+
+    def numbered(rows: Column) -> Column:
+        # `before`: lines of the new file since the block's beginning; `hunk`: the last header
+        both = F.arrays_zip(rows.alias("row"), sums_before(F.transform(rows, lambda x: x["moves"])).alias("before"), most_before(F.transform(rows, lambda x: x["header"])).alias("hunk"))
+        return let(both, lambda all_: F.transform(F.filter(all_, lambda x: x["row"]["touched"] & (x["hunk"] >= 0)), lambda x: let(F.get(all_, x["hunk"]), lambda h: F.when(h["row"]["start"] > 0, h["row"]["start"] + x["before"] - h["before"]))))
+
+    lines = let(F.transform(split_lines(block), marked), numbered)
+    found = F.array_sort(F.array_distinct(F.filter(lines, lambda x: x.isNotNull())))
+    return F.when(F.coalesce(block.contains("@@ -"), F.lit(False)), found).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def line_numbers(parts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, line: a row for each line that a block touches."""
+    return parts.select(*keys, F.explode(changed_lines(F.col(text))).alias("line"))
 
 
 def targets(diffs: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,10 +73,6 @@ def targets(diffs: DataFrame, key: str, text: str) -> DataFrame:
     first = F.regexp_extract("diff_text", f"^(?:(?!{LINE_ENDS})[\\s\\S])*", 0)
     parts = parts.withColumn("__h", header(F.regexp_replace(first, "\\n[\\s\\S]*", ""))).where("__h is not null")
     side = lambda c: strip_side(unquoted(F.col(f"__h.{c}")))
-    parts = parts.select(key, "target_ord", side("new").alias("path"), status(F.col("diff_text")).alias("status"), "diff_text", side("old").alias("__old"))
-    touched = line_numbers(parts, [key, "target_ord"], "diff_text").groupBy(key, "target_ord").agg(F.array_sort(F.collect_set("line")).alias("changed_lines"))
-    parts = parts.join(touched, [key, "target_ord"], "left")
     return parts.select(
-        key, "target_ord", "path", "status", "diff_text", F.coalesce("changed_lines", F.expr("cast(array() as array<int>)")).alias("changed_lines"),
-        F.when(F.col("status") == "renamed", F.col("__old")).alias("old_path"),
-    )
+        key, "target_ord", side("new").alias("path"), status(F.col("diff_text")).alias("status"), "diff_text", changed_lines(F.col("diff_text")).alias("changed_lines"), side("old").alias("__old")
+    ).select(key, "target_ord", "path", "status", "diff_text", "changed_lines", F.when(F.col("status") == "renamed", F.col("__old")).alias("old_path"))
