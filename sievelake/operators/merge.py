@@ -10,6 +10,7 @@ file, is what a task has to hold.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -58,16 +59,26 @@ def merge_block(rows: list[dict]) -> list[dict]:
         old = kept[at]
         winner, loser = (new, old) if new["__tier"] > old["__tier"] else (old, new)
         # only the winner's own list of others survives; the place in the order is the first one's
-        kept[at] = winner | {"__rank": max(old["__rank"], new["__rank"]), "also_flagged_by": [*(winner["also_flagged_by"] or []), f"{loser['source']}:{loser['check_id']}"], "ord": old["ord"]}
+        also = [*(winner["also_flagged_by"] or []), f"{loser['source']}:{loser['check_id']}"]
+        kept[at] = winner | {"__rank": max(old["__rank"], new["__rank"]), "also_flagged_by": also, "ord": old["ord"]}
+        if "raw" in winner:
+            kept[at]["raw"] = json.dumps(_object(winner["raw"]) | {"also_flagged_by": also}, ensure_ascii=False, separators=(",", ":"))
     return [{k: v for k, v in x.items() if k != "__tier"} for x in kept]
 
 
+def _object(text: str | None) -> dict:
+    value = json.loads(text) if text else {}
+    return value if isinstance(value, dict) else {}
+
+
 def merged(findings: DataFrame) -> DataFrame:
-    """The merged findings, with their columns; findings need ord (their order), and get also_flagged_by and the merged severity.
+    """The merged findings, with their columns; findings need ord (their order), and get also_flagged_by (in raw too, if there is one) and the merged severity.
 
     Null titles compare as empty ones. Rows without a file or a line form blocks of their own.
     """
-    rows = findings if "also_flagged_by" in findings.columns else findings.withColumn("also_flagged_by", F.lit(None).cast("array<string>"))
+    raw = F.from_json(F.get_json_object("raw", "$.also_flagged_by"), "array<string>") if "raw" in findings.columns else F.lit(None).cast("array<string>")
+    have = F.col("also_flagged_by") if "also_flagged_by" in findings.columns else F.lit(None).cast("array<string>")
+    rows = findings.withColumn("also_flagged_by", F.coalesce(have, raw))
     columns = rows.columns
     rows = blocks(rows).withColumns({"__tier": severity.tier_priority(F.col("tier")), "__rank": severity.rank(F.col("severity"))})
     # blocks of one finding, nearly all of them, need no merge
