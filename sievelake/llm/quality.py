@@ -5,8 +5,8 @@ built-in expressions over the row, so the operator is one narrow scan of any
 size, without a shuffle.
 
 The stop-word and word-length rules hold for writing with letters and spaces, so
-they are asked only of texts with about as many runs of Latin letters as words; texts
-in other scripts are judged by the other rules alone. A Latin-script language whose
+they are asked only of texts with less than one and a half bytes a character, as
+Latin script has; texts in other scripts are judged by the other rules alone. A Latin-script language whose
 function words STOP_WORDS doesn't have loses its texts of 40 words or more to the
 stop-word rule: give the table further words, or `rules` without it, for such corpora.
 
@@ -51,7 +51,7 @@ class Rule:
 
 
 #: The thresholds. Metrics are SQL over the counted columns, so this table can be kept in a configuration.
-LATIN = "2 * n_latin >= n_words"
+LATIN = "2 * text_bytes < 3 * text_chars"
 RULES = (
     Rule("mean_word_length", "word_chars / n_words", 2.0, 14.0, 0, LATIN),
     Rule("symbols_per_word", "n_symbols / n_words", None, 0.25),
@@ -67,7 +67,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     text = F.col("__sl_text")
     step = docs.select(*[F.col(c) for c in dict.fromkeys((id_col, *keep))], F.coalesce(F.col(text_col), F.lit("")).alias("__sl_text"))
     names = step.columns[:-1]
-    step = step.select(*names, words_of(text).alias("__sl_w"), F.split(text, "\n").alias("__sl_l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.regexp_count(text, F.lit("[A-Za-z]+")).cast("long").alias("n_latin"))
+    step = step.select(*names, words_of(text).alias("__sl_w"), F.split(text, "\n").alias("__sl_l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.octet_length(text).cast("long").alias("text_bytes"), F.length(text).cast("long").alias("text_chars"))
     w, lines = F.col("__sl_w"), F.col("__sl_l")
     n = F.size(w)
     window = F.when(
@@ -77,7 +77,8 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     step = step.select(
         *names,
         "n_symbols",
-        "n_latin",
+        "text_bytes",
+        "text_chars",
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.size(F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
@@ -108,7 +109,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 
 WORD_IN = r"[^\x20\x09-\x0D]"
-COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper_words", "n_adjacent", "n_lines", "n_latin")
+COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper_words", "n_adjacent", "n_lines", "text_bytes", "text_chars")
 
 
 def _same(s: Column, x: Column, k: Column) -> Column:

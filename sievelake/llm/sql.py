@@ -50,7 +50,7 @@ WITH d AS (
   FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid
 ), x AS (
   SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
-         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '[A-Za-z]+')) AS n_latin, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, octet_length(encode(t)) AS n_bytes, length(t) AS n_chars, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
          coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(n_stop, 0) AS n_stop, coalesce(n_upper, 0) AS n_upper, coalesce(n_adjacent, 0) AS n_adjacent,
          coalesce(n_lines, 0) AS n_lines
   FROM d LEFT JOIN agg USING (rid) LEFT JOIN ln USING (rid) LEFT JOIN covered c USING (rid)
@@ -59,9 +59,9 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed
-       AND coalesce(2 * n_latin < n_words OR word_chars::DOUBLE / nullif(n_words, 0) BETWEEN 2.0 AND 14.0, true)
+       AND coalesce(2 * n_bytes >= 3 * n_chars OR word_chars::DOUBLE / nullif(n_words, 0) BETWEEN 2.0 AND 14.0, true)
        AND coalesce(n_symbols::DOUBLE / nullif(n_words, 0) <= 0.25, true)
-       AND (n_words < 40 OR 2 * n_latin < n_words OR n_stop::DOUBLE / n_words >= 0.02)
+       AND (n_words < 40 OR 2 * n_bytes >= 3 * n_chars OR n_stop::DOUBLE / n_words >= 0.02)
        AND coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0) <= 0.6, true)
        AND coalesce(n_adjacent::DOUBLE / nullif(n_words, 0) <= 0.3, true)
        AND (n_words < 20 OR n_upper::DOUBLE / n_words <= 0.6) AS kept
