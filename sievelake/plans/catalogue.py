@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import jsonx, retry, severity, similarity, text
 from sievelake.functions.numbering import numbered
+from sievelake.functions.storage import shared_dir
 from sievelake.operators import coverage, js_rules, merge, placement, py_rules, report, resume, scope
 from sievelake.plans import carriers as C
-from sievelake.sources import diffs, linters, responses, trees, urls
+from sievelake.plans import render
+from sievelake.sources import analysers, config, diffs, linters, models, responses, trees, urls
+from sievelake.streaming import incremental
 
 c = F.col
 
@@ -46,8 +49,10 @@ def size_cap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admission_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cap, forced, n_over: what a run over all orders is told."""
     targets = C.read(spark, sf_dir, "orders").select(F.when(c("o_orderstatus") == "F", "deleted").otherwise("modified").alias("status"))
-    return scope.live(targets).agg(F.count("*").alias("n_live")).withColumn("refused", c("n_live") > scope.FILE_CAP)
+    rows = [(cap, force, scope.over_cap(targets, cap, force)) for cap in (scope.FILE_CAP, 1_000, 1_000_000_000) for force in (False, True)]
+    return spark.createDataFrame(rows, "cap int, forced boolean, n_over bigint")
 
 
 def suffix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +109,9 @@ def line_scope_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding goes through one of the three readers; those of deleted orders have no target."""
     rows = C.findings(spark, sf_dir)
-    targets = C.read(spark, sf_dir, "orders").where("o_orderkey % 4 <> 3").select(file_name("o_orderkey").alias("path"), C.changed(c("o_orderkey")).alias("changed_lines"))
+    targets = scope.live(C.read(spark, sf_dir, "orders").select(file_name("o_orderkey").alias("path"), C.changed(c("o_orderkey")).alias("changed_lines"), F.when(c("o_orderstatus") == "F", "deleted").otherwise("modified").alias("status")))
     path, message = F.concat(F.lit("/repo/"), c("file")), F.concat(c("title"), F.lit("\nmore"))
     code, line, end = C.choice(c("l_orderkey"), ("S101", "E501", "F401")), c("line_start"), c("line_end")
     ruff = F.to_json(F.collect_list(F.struct(path.alias("filename"), code.alias("code"), message.alias("message"), F.struct(line.alias("row")).alias("location"), F.struct(end.alias("row")).alias("end_location"))))
@@ -115,7 +121,7 @@ def linter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     semgrep = F.to_json(F.struct(F.collect_list(result).alias("results")))
     out = None
     for k, (tool, payload) in enumerate((("ruff", ruff), ("eslint", eslint), ("semgrep", semgrep))):
-        found = linters.TOOLS[tool](rows.where(c("l_orderkey") % 5 == k).groupBy("file").agg(payload.alias("payload")).select("payload"), "/repo")
+        found = linters.TOOLS[tool](rows.where(c("l_orderkey") % 3 == k).groupBy("file").agg(payload.alias("payload")).select("payload"), "/repo")
         found = linters.scoped(found, targets).select("file", "check_id", "source", "severity", "title", "line_start", "line_end")
         out = found if out is None else out.unionByName(found)
     return out
@@ -192,9 +198,9 @@ def merge_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = C.read(spark, sf_dir, "nation").where(c("n_nationkey") < len(C.TITLES)).select(C.choice(c("n_nationkey"), C.TITLES).alias("a"))
-    pairs = titles.withColumn("b", F.explode(F.array(*[F.lit(t) for t in C.TITLES])))
-    return pairs.select("a", "b", (similarity.title_ratio("a", "b") >= similarity.SIMILAR).alias("similar"))
+    k = c("p_partkey")
+    pairs = C.read(spark, sf_dir, "part").select(k, C.choice(k, C.TITLES).alias("a"), C.choice(F.floor(k / len(C.TITLES)), C.TITLES).alias("b"))
+    return pairs.select("p_partkey", "a", "b", (similarity.title_ratio("a", "b") >= similarity.SIMILAR).alias("similar"))
 
 
 def final_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,9 +208,106 @@ def final_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fail_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = severity.rank(c("severity"))
-    per = C.findings(spark, sf_dir).groupBy("file").agg(F.max(rank).alias("worst"))
-    return per.select("file", *[(c("worst") >= k).cast("int").alias(f"exit_at_{s}") for k, s in enumerate(severity.SEVERITIES)])
+    """For each level and file whether a finding is at it or above."""
+    rows = C.findings(spark, sf_dir)
+    hit = None
+    for level in severity.SEVERITIES:
+        here = report.at_or_above(rows, level).groupBy("file").agg(F.count("*").alias("n")).select("file", F.lit(level).alias("level"), "n")
+        hit = here if hit is None else hit.unionByName(here)
+    return hit
+
+
+def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exit code of a review of each source's findings at each level."""
+    rows = C.findings(spark, sf_dir).where("severity <> 'critical' or source <> 'ruff'")
+    sources = [r.source for r in rows.select("source").distinct().orderBy("source").collect()]
+    codes = [(s, level, report.exit_code(rows.where(c("source") == s), level)) for s in sources for level in severity.SEVERITIES]
+    return spark.createDataFrame(codes, "source string, level string, code int")
+
+
+def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.totals(C.findings(spark, sf_dir))
+
+
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.summary(C.findings(spark, sf_dir).where("severity <> 'low'"))
+
+
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's findings as JSON objects, in the report's order."""
+    rows = C.findings(spark, sf_dir).withColumns({"explanation": F.concat(F.lit('say "'), c("title"), F.lit('"\n')), "suggestion": F.lit(None).cast("string"), "raw": F.when(c("ord") % 2 == 0, F.to_json(F.struct("ord"))), "also_flagged_by": F.lit(None).cast("array<string>")})
+    return render.json_lines(rows)
+
+
+def console_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents as a terminal gets them, through the same rule as reports."""
+    rows = C.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("[red]"), c("text"), F.lit("\u001b[0m")).alias("text"))
+    return rows.select("conv_id", "turn", render.inert_column(c("text")).alias("text"))
+
+
+def item_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of diff entries that have flags, those of line items."""
+    status = diffs.item_status(c("l_returnflag") == "R", c("l_linestatus") == "O", c("l_returnflag") == "A")
+    return C.read(spark, sf_dir, "lineitem").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def touching_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a finding's range touches that of the one before it in its file."""
+    before = Window.partitionBy("file").orderBy("ord")
+    rows = C.findings(spark, sf_dir).withColumns({"a": F.lag("line_start").over(before), "b": F.lag("line_end").over(before)}).where("a is not null")
+    return rows.select("file", "ord", merge.ranges_touch(c("line_start"), c("line_end"), c("a"), c("b")).alias("touches"))
+
+
+def merged_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the raw objects of merged findings list: exact duplicates, so that the order decides nothing but the list's."""
+    rows = C.findings(spark, sf_dir).withColumns({"title": F.md5(F.concat("check_id", "source").cast("binary")), "tier": F.lit("rules"), "raw": F.to_json(F.struct("check_id"))})
+    return merge.merged(rows.drop("l_orderkey")).select("file", "check_id", "source", "line_start", F.get_json_object("raw", "$.check_id").alias("raw_check"), F.coalesce(F.json_array_length(F.get_json_object("raw", "$.also_flagged_by")), F.lit(0)).alias("n_also"))
+
+
+def analyser_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files each analyser would be given, by tool."""
+    targets = C.read(spark, sf_dir, "orders").select(F.concat(F.lit("src/f"), c("o_orderkey").cast("string"), C.choice(c("o_orderkey"), (".py", ".jsx", ".ts", ".md"))).alias("path"), F.when(c("o_orderstatus") == "F", "deleted").otherwise("modified").alias("status"))
+    out = None
+    for tool in analysers.ANALYSERS:
+        suffixes = linters.SUFFIXES.get(tool.name)
+        here = (scope.with_suffix(targets, suffixes) if suffixes else scope.live(targets)).agg(F.lit(tool.name).alias("tool"), F.count("*").alias("n"))
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
+def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model tier end to end over all documents, against a stand-in that answers by the message: outcome and findings of each file."""
+    files = C.read(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), c("doc_id").cast("string")).alias("path"), F.lit("scanned").alias("status"), F.lit("").alias("diff_text"), F.lit(None).cast("array<int>").alias("changed_lines"), c("text").alias("content"))
+    tier = models.local(config.Local(enabled=True, model="m", max_file_lines=6))
+    done = models.run(tier, files, "audit", None, _stand_in)
+    return done.outcomes.join(done.findings.select(c("file").alias("path"), "title", "line_start"), "path", "left")
+
+
+def _stand_in():
+    """Answers with one finding of the message's length, none for every third length, and fails for every fifth."""
+    import json
+
+    def ask(message: str) -> tuple[str | None, str | None]:
+        n = len(message)
+        if n % 5 == 0:
+            return None, "API request failed: HTTP status 503"
+        found = [] if n % 3 == 0 else [{"severity": "low", "title": f"{n} characters", "explanation": "e", "line_start": n % 7}]
+        return json.dumps({"choices": [{"message": {"content": json.dumps({"findings": found})}}]}), None
+
+    return ask
+
+
+def stream_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incremental review of a stream of scripts, one for each event: each content of a file is reviewed once."""
+    import uuid
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    arrived = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream can't have one file for its base
+    snippet = C.choice(c("event_id"), ("console.log(1);\n", "let a = 1;\n", "debugger;\nconsole.debug(2);\n"))
+    files = arrived.select(F.concat(F.lit("u"), c("user_id").cast("string"), F.lit(".js")).alias("path"), snippet.alias("content"), c("ts").cast("timestamp").alias("seen"))
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    incremental.review(files, f"{folder}/out", f"{folder}/at", delay="36500 days").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(c("path").alias("file"), "check_id", "severity", "line_start")
 
 
 def _prior(spark: SparkSession, sf_dir: str):
@@ -274,7 +377,7 @@ def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diff = F.when(c("doc_id") % 2 == 0, F.concat(F.lit("+"), F.substr("text", F.lit(1), F.lit(20)))).otherwise("")
+    diff = F.when(c("doc_id") % 2 == 0, F.concat(F.lit("+"), c("text"))).otherwise("")
     message = responses.user_message(F.concat(F.lit("doc/"), c("doc_id").cast("string")), F.lit("modified"), c("text"), diff)
     return C.read(spark, sf_dir, "documents").select("doc_id", F.length(message).cast("bigint").alias("n_chars"), F.sha2(message, 256).alias("sha256"))
 
@@ -333,6 +436,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         permission_reachability, severity_parse, severity_maps, line_scope_exact, line_scope_range, line_scope_tolerance, linter_join, hunk_lines, diff_split_header, git_unquote,
         added_line_count, test_coverage_gate, counts_by_severity, findings_by_file, merge_exact_duplicates, merge_fuzzy, title_similarity, final_sort, fail_gate, resume_done,
         resume_remaining, resume_union, sequential_ids, model_json_extract, safe_int, retry_schedule, user_message, markdown_rows, report_basename, pr_url_parse, model_placement,
-        rollup_report, nearby_findings,
+        rollup_report, nearby_findings, exit_codes, report_totals, report_summary, report_json, console_text, item_statuses, touching_ranges, merged_raw, analyser_targets, model_requests, stream_review,
     )
 }

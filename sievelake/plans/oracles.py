@@ -94,7 +94,9 @@ SELECT doc_id, lineno, line FROM l WHERE lineno < n OR line <> ''""",
     "size_cap_split": """
 WITH d AS (SELECT 'doc/' || doc_id AS path, text, len(string_split(text, chr(10))) AS n FROM documents)
 SELECT path, text IS NOT NULL AND n <= 6 AS kept, CASE WHEN text IS NULL THEN 'cloud_llm: ' || path || ': could not read file' WHEN n > 6 THEN 'cloud_llm: ' || path || ': file too large (' || n || ' lines > 6)' END AS entry FROM d""",
-    "admission_cap": "SELECT count(*) AS n_live, count(*) > 50 AS refused FROM orders WHERE o_orderstatus <> 'F'",
+    "admission_cap": """
+WITH n AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'F')
+SELECT cap::INT AS cap, forced, CASE WHEN NOT forced AND n > cap THEN n END AS n_over FROM n, (VALUES (50), (1000), (1000000000)) AS c(cap), (VALUES (true), (false)) AS f(forced)""",
     "suffix_filter": """
 WITH t AS (SELECT 'src/f' || o_orderkey || (CASE o_orderkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.tsx' WHEN 3 THEN '.md' ELSE '.PY' END) AS path, o_orderkey % 5 AS k FROM orders WHERE o_orderstatus <> 'F')
 SELECT path, runner FROM t JOIN (VALUES (0, 'ruff'), (1, 'eslint'), (2, 'eslint'), (0, 'house'), (1, 'house')) AS r(k, runner) USING (k)""",
@@ -113,13 +115,13 @@ SELECT p_partkey, {pick("p_partkey", ("high", "high", "high", "medium", "medium"
     "line_scope_tolerance": f"""WITH {FINDINGS} SELECT file, ord, (line_start * 5 + 30)::INT AS line FROM findings
 WHERE l_orderkey % 3 = 0 OR (l_orderkey % 3 = 2 AND len(list_filter(range(1, 42, 2), lambda x: x >= line_start * 5 + 28 AND x <= line_start * 5 + 32 + (line_end IS NOT NULL)::INT)) > 0)""",
     "linter_join": f"""WITH {FINDINGS}, s AS (
-  SELECT f.* FROM findings AS f JOIN orders ON f.l_orderkey = o_orderkey WHERE o_orderkey % 4 <> 3 AND (l_orderkey % 3 = 0 OR (l_orderkey % 3 = 2 AND line_start % 2 = 1))
+  SELECT f.* FROM findings AS f JOIN orders ON f.l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' AND (l_orderkey % 3 = 0 OR (l_orderkey % 3 = 2 AND line_start % 2 = 1))
 )
-SELECT file, 'RUFF-' || {pick("l_orderkey", ("S101", "E501", "F401"))} AS check_id, 'ruff' AS source, {pick("l_orderkey", ("high", "low", "medium"))} AS severity, {pick("l_orderkey", ("S101", "E501", "F401"))} || ': ' || title AS title, line_start, line_end FROM s WHERE l_orderkey % 5 = 0
+SELECT file, 'RUFF-' || {pick("l_orderkey", ("S101", "E501", "F401"))} AS check_id, 'ruff' AS source, {pick("l_orderkey", ("high", "low", "medium"))} AS severity, {pick("l_orderkey", ("S101", "E501", "F401"))} || ': ' || title AS title, line_start, line_end FROM s WHERE l_orderkey % 3 = 0
 UNION ALL
-SELECT file, 'ESLINT-' || r, 'eslint', CASE WHEN ord % 3 = 2 THEN 'medium' ELSE 'low' END, r || ': ' || title, line_start, line_end FROM (SELECT *, coalesce(nullif(check_id, 'RULE-001'), 'unknown') AS r FROM s) WHERE l_orderkey % 5 = 1
+SELECT file, 'ESLINT-' || r, 'eslint', CASE WHEN ord % 3 = 2 THEN 'medium' ELSE 'low' END, r || ': ' || title, line_start, line_end FROM (SELECT *, coalesce(nullif(check_id, 'RULE-001'), 'unknown') AS r FROM s) WHERE l_orderkey % 3 = 1
 UNION ALL
-SELECT file, 'SEMGREP-' || check_id, 'semgrep', {pick("ord", ("high", "medium", "low", "medium"))}, title, line_start, line_end FROM s WHERE l_orderkey % 5 = 2""",
+SELECT file, 'SEMGREP-' || check_id, 'semgrep', {pick("ord", ("high", "medium", "low", "medium"))}, title, line_start, line_end FROM s WHERE l_orderkey % 3 = 2""",
     "hunk_lines": f"""WITH {ITEMS}, l AS (
   SELECT l_orderkey AS o, ord, l_partkey % 7 AS kind, CASE WHEN ord >= 4 THEN 1 ELSE 0 END AS hunk, CASE WHEN ord >= 4 THEN 20 ELSE l_orderkey % 4 END AS first FROM items
 ), n AS (
@@ -143,10 +145,33 @@ SELECT severity, k::INT AS severity_rank, coalesce(n, 0)::BIGINT AS n FROM (VALU
     "merge_exact_duplicates": f"""WITH {FINDINGS}
 SELECT file, check_id, source, line_start, ({list(SEVERITIES)})[max(rank) + 1] AS severity, (count(*) - 1)::INT AS n_also FROM ranked GROUP BY file, check_id, source, line_start, coalesce(line_end, line_start)""",
     "title_similarity": f"""
-WITH t(a) AS (VALUES {", ".join(f"({quoted(x)})" for x in carriers.TITLES)})
-SELECT x.a, y.a AS b, x.a = y.a OR (x.a LIKE '%eval()%' AND y.a LIKE '%eval()%') AS similar FROM t AS x, t AS y""",
+WITH t AS (SELECT p_partkey, {pick("p_partkey", carriers.TITLES)} AS a, {pick(f"(p_partkey // {len(carriers.TITLES)})", carriers.TITLES)} AS b FROM part)
+SELECT p_partkey, a, b, a = b OR (a LIKE '%eval()%' AND b LIKE '%eval()%') AS similar FROM t""",
     "final_sort": f"WITH {FINDINGS} SELECT row_number() OVER (ORDER BY rank DESC, file, line_start, ord) AS place, file, ord, severity, line_start FROM ranked",
-    "fail_gate": f"WITH {FINDINGS} SELECT file, {', '.join(f'(max(rank) >= {k})::INT AS exit_at_{s}' for k, s in enumerate(SEVERITIES))} FROM ranked GROUP BY file",
+    "fail_gate": f"WITH {FINDINGS}, l AS (SELECT unnest({list(SEVERITIES)}) AS level, unnest(range({len(SEVERITIES)})) AS k) SELECT file, level, count(*) AS n FROM ranked JOIN l ON rank >= k GROUP BY file, level",
+    "exit_codes": f"""WITH {FINDINGS}, l AS (SELECT unnest({list(SEVERITIES)}) AS level, unnest(range({len(SEVERITIES)})) AS k), w AS (SELECT source, max(rank) AS worst FROM ranked WHERE severity <> 'critical' OR source <> 'ruff' GROUP BY source)
+SELECT source, level, (worst >= k)::INT AS code FROM w, l""",
+    "report_totals": f"WITH {FINDINGS} SELECT count(*) AS n_findings, count(DISTINCT file) AS n_files FROM findings",
+    "report_summary": f"WITH {FINDINGS} SELECT severity, rank::INT AS severity_rank, count(*) AS n FROM ranked WHERE severity <> 'low' GROUP BY ALL",
+    "report_json": f"""WITH {FINDINGS}
+SELECT row_number() OVER (ORDER BY rank DESC, file, line_start, ord) AS place, json_object('check_id', check_id, 'tier', tier, 'source', source, 'severity', severity, 'title', title, 'explanation', 'say "' || title || '"' || chr(10),
+  'file', file, 'line_start', line_start, 'line_end', line_end, 'suggestion', NULL, 'raw', CASE WHEN ord % 2 = 0 THEN json_object('ord', ord) END, 'also_flagged_by', NULL)::VARCHAR AS json FROM ranked""",
+    "console_text": r"""
+SELECT conv_id, turn, replace(regexp_replace(regexp_replace('[red]' || coalesce(text, '') || chr(27) || '[0m', '[\r\n\t]+', ' ', 'g'), '[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g'), '[', '\[') AS text FROM conversations""",
+    "item_statuses": "SELECT CASE WHEN l_returnflag = 'R' THEN 'renamed' WHEN l_linestatus = 'O' THEN 'added' WHEN l_returnflag = 'A' THEN 'deleted' ELSE 'modified' END AS status, count(*) AS n FROM lineitem GROUP BY 1",
+    "touching_ranges": f"""WITH {FINDINGS}, p AS (SELECT file, ord, line_start AS s, coalesce(line_end, line_start) AS e, lag(line_start) OVER o AS a, lag(coalesce(line_end, line_start)) OVER o AS b FROM findings WINDOW o AS (PARTITION BY file ORDER BY ord))
+SELECT file, ord, s - 2 <= b AND a - 2 <= e AS touches FROM p WHERE a IS NOT NULL""",
+    "merged_raw": f"WITH {FINDINGS} SELECT file, check_id, source, line_start, check_id AS raw_check, (count(*) - 1)::INT AS n_also FROM findings GROUP BY file, check_id, source, line_start, coalesce(line_end, line_start)",
+    "analyser_targets": """
+WITH t AS (SELECT o_orderkey % 4 AS k FROM orders WHERE o_orderstatus <> 'F')
+SELECT 'ruff' AS tool, count(*) FILTER (k = 0) AS n FROM t UNION ALL SELECT 'eslint', count(*) FILTER (k IN (1, 2)) FROM t UNION ALL SELECT 'semgrep', count(*) FROM t""",
+    "model_requests": """
+WITH d AS (SELECT 'doc/' || doc_id AS path, len(string_split(text, chr(10))) AS lines, text, length('File: doc/' || doc_id || 'Status: scannedFull file content:``````' || 'No diff included — this is a full-file audit, not a diff review. Review the entire file.') + 8 + length(text) AS n FROM documents)
+SELECT path, CASE WHEN text IS NULL THEN 'skipped: could not read file' WHEN lines > 6 THEN 'skipped: file too large (' || lines || ' lines > 6)' WHEN n % 5 = 0 THEN 'skipped: API request failed: HTTP status 503' WHEN n % 3 = 0 THEN '0 findings' ELSE '1 finding' END AS outcome,
+       CASE WHEN lines <= 6 AND n % 5 <> 0 AND n % 3 <> 0 THEN n || ' characters' END AS title, CASE WHEN lines <= 6 AND n % 5 <> 0 AND n % 3 <> 0 THEN n % 7 END::INT AS line_start FROM d""",
+    "stream_review": """
+WITH f AS (SELECT DISTINCT 'u' || user_id || '.js' AS file, event_id % 3 AS k FROM events)
+SELECT file, check_id, severity, line_start::INT AS line_start FROM f JOIN (VALUES (0, 'RULE-012', 'low', 1), (2, 'RULE-013', 'high', 1), (2, 'RULE-012', 'low', 2)) AS h(k, check_id, severity, line_start) USING (k)""",
     "resume_done": f"WITH {PRIOR} SELECT path FROM done",
     "resume_remaining": f"WITH {PRIOR} SELECT path, o AS o_orderkey FROM p WHERE o NOT IN (SELECT o FROM done)",
     "resume_union": f"""WITH {PRIOR}, {FINDINGS}, c AS (SELECT * FROM findings WHERE tier = 'cloud_llm')
@@ -165,7 +190,7 @@ WITH r AS (SELECT n_nationkey, i::INT AS attempt, least(2.0::DOUBLE * pow(2, i),
 SELECT n_nationkey, attempt, delay, asked, least(coalesce(nullif(asked, 0), delay), 60.0::DOUBLE) AS wait FROM r""",
     "user_message": """
 WITH m AS (SELECT doc_id, 'File: doc/' || doc_id || chr(10) || 'Status: modified' || chr(10) || chr(10) || 'Full file content:' || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) ||
-  CASE WHEN doc_id % 2 = 0 THEN 'Unified diff of the change:' || chr(10) || '```diff' || chr(10) || '+' || substr(text, 1, 20) || chr(10) || '```' ELSE 'No diff included — this is a full-file audit, not a diff review. Review the entire file.' END AS m FROM documents)
+  CASE WHEN doc_id % 2 = 0 THEN 'Unified diff of the change:' || chr(10) || '```diff' || chr(10) || '+' || text || chr(10) || '```' ELSE 'No diff included — this is a full-file audit, not a diff review. Review the entire file.' END AS m FROM documents)
 SELECT doc_id, length(m)::BIGINT AS n_chars, sha256(m) AS sha256 FROM m""",
     "markdown_rows": f"""WITH {FINDINGS}, r AS (
   SELECT file, rank, line_start, ord, '| ' || line_start || ' | ' || (CASE severity {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EMOJI.items())} END) || ' ' || severity || ' | `' || check_id || '` (' || source || ') | ' ||

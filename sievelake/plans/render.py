@@ -91,6 +91,12 @@ def inert(text: str | None) -> str:
     return CONTROL.sub("", re.sub(r"[\r\n\t]+", " ", text or "")).replace("[", r"\[")
 
 
+def inert_column(value: Column) -> Column:
+    """inert() of a column."""
+    line = F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n\t]+", " ")
+    return F.replace(F.regexp_replace(line, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", ""), F.lit("["), F.lit("\\["))
+
+
 def as_console(review: Review) -> str:
     """A line for each finding, grouped by file, and the counts."""
     out, at = [], None

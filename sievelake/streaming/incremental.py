@@ -36,7 +36,7 @@ def findings(files: DataFrame) -> DataFrame:
     return a.unionByName(js_rules.line_rules(script, keep=keep)).unionByName(js_rules.call_rule(script, keep=keep))
 
 
-def review(files: DataFrame, sink: str, checkpoint: str, progress: Callable[[int, int], None] | None = None) -> StreamingQuery:
+def review(files: DataFrame, sink: str, checkpoint: str, progress: Callable[[int, int], None] | None = None, delay: str = "1 day") -> StreamingQuery:
     """Appends the findings of all available files to Parquet; progress(batch, rows) is told of each batch."""
 
     def write(batch: DataFrame, n: int) -> None:
@@ -45,4 +45,4 @@ def review(files: DataFrame, sink: str, checkpoint: str, progress: Callable[[int
         if progress:
             progress(n, batch.sparkSession.read.parquet(f"{sink}/batch={n}").count())
 
-    return fresh(files).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return fresh(files, delay).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

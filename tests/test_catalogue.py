@@ -8,7 +8,7 @@ import pytest
 from sievelake.plans import catalogue, oracles
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "array<int>": "INTEGER[]", "array<string>": "VARCHAR[]"}
 
