@@ -82,7 +82,28 @@ def unquote_values() -> str:
     return f"SELECT n_nationkey, {pick('n_nationkey', catalogue.QUOTED_PATHS)} AS raw, {pick('n_nationkey', made)} AS path FROM nation"
 
 
+def greedy_merge() -> str:
+    """Each finding of a file joins the first one before it that it duplicates: a fold over the file's findings, a list of one struct each."""
+    fields = ("ord", "check_id", "tier", "source", "rank", "title", "line_start", "line_end", "also", "tp", "last", "ev")
+    same = lambda o: f"""CASE WHEN {o}.check_id = x[1].check_id AND {o}.source = x[1].source THEN {o}.line_start = x[1].line_start AND {o}.last = x[1].last
+      ELSE x[1].line_start - 2 <= {o}.last AND {o}.line_start - 2 <= x[1].last AND ({o}.title = x[1].title OR ({o}.ev AND x[1].ev)) END"""
+    special = lambda a, b: {"ord": "o.ord", "rank": "greatest(o.rank, x[1].rank)", "also": f"{a}.also || [{b}.source || ':' || {b}.check_id]"}
+    pair = lambda a, b: "{" + ", ".join(f"'{k}': {special(a, b).get(k, f'{a}.{k}')}" for k in fields) + "}"
+    own = "{" + ", ".join(f"'{k}': {'[]::VARCHAR[]' if k == 'also' else k}" for k in fields) + "}"
+    return f"""WITH {FINDINGS}, s AS (
+  SELECT *, CASE tier WHEN 'cloud_llm' THEN 3 WHEN 'local_llm' THEN 2 ELSE 1 END AS tp, coalesce(nullif(line_end, 0), line_start) AS last, title LIKE '%eval()%' AS ev FROM ranked
+), l AS (
+  SELECT file, list([{own}] ORDER BY ord) AS xs FROM s GROUP BY file
+), m AS (
+  SELECT file, unnest(list_reduce(xs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda o: {same("o")})) = 0 THEN acc || x ELSE
+    list_transform(acc, lambda o, i: CASE WHEN i = list_position(list_transform(acc, lambda p: {same("p")}), true) THEN CASE WHEN x[1].tp > o.tp THEN {pair("x[1]", "o")} ELSE {pair("o", "x[1]")} END ELSE o END) END)) AS y FROM l
+)
+SELECT file, y.ord AS ord, y.check_id AS check_id, y.tier AS tier, y.source AS source, ({list(SEVERITIES)})[y.rank + 1] AS severity, y.title AS title, y.line_start AS line_start, y.line_end AS line_end,
+       CASE WHEN len(y.also) > 0 THEN y.also END AS also_flagged_by FROM m"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "merge_fuzzy": greedy_merge(),
     "credential_lines": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS lineno FROM documents)
 SELECT doc_id, lineno, 'RULE-009' AS check_id FROM l WHERE len(list_filter(regexp_extract_all(line, '{SECRET}', 1), lambda x: NOT regexp_matches(x, '{PLACEHOLDER}'))) > 0""",
