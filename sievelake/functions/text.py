@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: What ends a line besides \n.
 LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -99,14 +97,21 @@ def _octal(digits: str) -> int | None:
     return value if 0 <= value < 256 else None
 
 
-@F.pandas_udf(StringType())
-def git_unquote(raw: pd.Series) -> pd.Series:
-    return raw.map(unquote, na_action="ignore")
+#: What a quoted path is read by: an octal byte (of fewer digits only at the end), an escape, a lone backslash, anything else.
+TOKEN = r"""\\[0-3][0-7]{2}|\\[0-7]{1,2}\z|\\[abfnrtv"\\]|\\|[^\\]+"""
 
 
 def unquoted(raw: Column) -> Column:
-    """git_unquote for the paths that are quoted; others don't leave the JVM."""
-    return F.when(raw.startswith('"'), git_unquote(raw)).otherwise(raw)
+    """unquote() as a column: the pieces' bytes in hexadecimal, put together and read as UTF-8."""
+    escapes = F.create_map(*[F.lit(x) for k, v in ESCAPES.items() for x in ("\\" + k, f"{v:02X}")])
+
+    def hexed(t: Column) -> Column:
+        octal = F.lpad(F.conv(F.substr(t, F.lit(2)), 8, 16), 2, "0")
+        return F.when(t.rlike(r"^\\[0-7]+\z"), octal).otherwise(F.coalesce(F.try_element_at(escapes, t), F.hex(F.encode(t, "utf-8"))))
+
+    pieces = F.regexp_extract_all(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit(TOKEN), F.lit(0))
+    read = F.try_validate_utf8(F.unhex(F.array_join(F.transform(pieces, hexed), "")).cast("string"))
+    return F.when(raw.startswith('"') & raw.endswith('"') & (F.length(raw) > 1), F.coalesce(read, raw)).otherwise(raw)
 
 
 def slug(text: Column) -> Column:

@@ -10,7 +10,7 @@ from sievelake.functions.text import LINE_ENDS, split_lines, strip_side, unquote
 
 #: The forms of a file header (each side may be quoted on its own) and of a hunk header.
 QUOTED = r'"(?:[^"\\]|\\.)*"'
-HEADERS = tuple(f"^diff --git ({old}) ({new})$" for old, new in ((QUOTED, QUOTED), (QUOTED, "b/.+"), ("a/.+?", QUOTED), ("a/.+?", "b/.+")))
+HEADER = "^diff --git (?:" + "|".join(f"({old}) ({new})" for old, new in ((QUOTED, QUOTED), (QUOTED, "b/.+"), ("a/.+?", QUOTED), ("a/.+?", "b/.+"))) + ")$"
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
@@ -21,11 +21,9 @@ def blocks(diffs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def header(line: Column) -> Column:
-    """struct(old, new) of a header line as it stands, or null; the most specific form that fits."""
-    out = F.lit(None)
-    for form in reversed(HEADERS):
-        out = F.when(line.rlike(form), F.struct(F.regexp_extract(line, form, 1).alias("old"), F.regexp_extract(line, form, 2).alias("new"))).otherwise(out)
-    return out
+    """struct(old, new) of a header line as it stands, or null; the most specific form that fits, all tried in one match."""
+    sides = F.regexp_replace(line, HEADER, "$1$3$5$7\0$2$4$6$8")
+    return let(sides, lambda x: F.when(~x.startswith("diff --git ") & x.contains("\0"), F.struct(F.substring_index(x, "\0", 1).alias("old"), F.substring_index(x, "\0", -1).alias("new"))))
 
 
 def status(block: Column) -> Column:
@@ -70,8 +68,9 @@ def line_numbers(parts: DataFrame, keys: list[str], text: str) -> DataFrame:
 def targets(diffs: DataFrame, key: str, text: str) -> DataFrame:
     """key, target_ord, path, status, diff_text, changed_lines, old_path: one row for each file whose header can be read."""
     parts = blocks(diffs, key, text)
-    first = F.regexp_extract("diff_text", f"^(?:(?!{LINE_ENDS})[\\s\\S])*", 0)
-    parts = parts.withColumn("__h", header(F.regexp_replace(first, "\\n[\\s\\S]*", ""))).where("__h is not null")
+    first = F.regexp_replace(F.substring_index("diff_text", "\n", 1), f"(?:{LINE_ENDS})[\\s\\S]*", "")
+    # as a generator, so that the header is read once and not again in a filter
+    parts = parts.select(key, "target_ord", "diff_text", F.explode(F.filter(F.array(header(first)), lambda x: x.isNotNull())).alias("__h"))
     side = lambda c: strip_side(unquoted(F.col(f"__h.{c}")))
     return parts.select(
         key, "target_ord", side("new").alias("path"), status(F.col("diff_text")).alias("status"), "diff_text", changed_lines(F.col("diff_text")).alias("changed_lines"), side("old").alias("__old")
