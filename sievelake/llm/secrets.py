@@ -21,12 +21,13 @@ and has no spans; repeated rows are scanned each; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.functions.arrays import let, most_before, sums_before
+
 #: Kinds in their order, each with its pattern, the group whose length counts, and its least length.
 KINDS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -57,33 +58,13 @@ PLACEHOLDER = r"(?i)example|changeme|placeholder|your_|xxxx|dummy"
 SPAN = "array<struct<start: int, kind: int, end: int>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def prefix(values: Column, op: Callable[[Column, Column], Column], zero: int) -> Column:
-    """What op makes of zero and all elements before each one (integers). Blocks of sqrt(n) elements are folded, then the blocks, so about n * sqrt(n) elements are copied."""
-    empty = F.struct(F.lit(zero).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-
-    def fold(array: Column, of: Callable[[Column], Column]) -> Column:
-        return F.aggregate(array, empty, lambda s, x: F.struct(op(s["at"], of(x)).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
-
-    def whole(v: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(v))).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: F.slice(v, b * width + 1, width))
-        return let(F.transform(blocks, lambda b: fold(b, lambda x: x)), lambda done: F.flatten(F.zip_with(done, fold(done, lambda d: d["at"])["out"], lambda d, before: F.transform(d["out"], lambda x: op(before, x).cast("int")))))
-
-    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.expr("cast(array() as array<int>)")))
-
-
 def places(text: Column, pattern: str, found: Column) -> Column:
     """The starts of the pattern's matches `found`."""
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
 
     def starts(gap_and_size: Column) -> Column:
-        ends = prefix(F.transform(gap_and_size, lambda x: x["gap"] + x["size"]), lambda a, b: a + b, 0)
-        return F.zip_with(ends, gap_and_size, lambda end, x: end + x["gap"])
+        before = sums_before(F.transform(gap_and_size, lambda x: x["gap"] + x["size"]))
+        return F.zip_with(before, gap_and_size, lambda at, x: at + x["gap"])
 
     return let(F.filter(F.zip_with(gaps, F.transform(found, lambda x: F.length(x)), lambda g, n: F.struct(g.alias("gap"), n.alias("size"))), lambda x: x["size"].isNotNull()), starts)
 
@@ -154,7 +135,7 @@ def apart(extra: Column, base: Column) -> Column:
     )
 
     def ends(m: Column) -> Column:
-        before = prefix(F.transform(m, lambda x: x["end"]), lambda a, b: F.greatest(a, b), -1)
+        before = most_before(F.transform(m, lambda x: x["end"]))
         both = F.zip_with(m, before, lambda x, e: F.struct(x["kind"].alias("kind"), e.alias("reach")))
         return F.filter(both, lambda x: x["kind"] == 0)
 
