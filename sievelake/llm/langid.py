@@ -98,15 +98,19 @@ def fit_packed(packed: list[np.ndarray], langs: list[str], landmarks: int = LAND
     each = min(landmarks, max(1, ALL_LANDMARKS // len(names)))
     chosen = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(names))])
     size = np.sqrt(np.array([np.bitwise_count(r).sum(dtype=np.int64) for r in packed], np.float64))
-    base = np.concatenate([_unpacked([packed[i] for i in chosen[k : k + 128]]) for k in range(0, len(chosen), 128)])
+    base, kernel = np.empty((len(chosen), V), np.float32), np.empty((len(packed), len(chosen)))
+    for k in range(0, len(chosen), 128):
+        base[k : k + 128] = _unpacked([packed[i] for i in chosen[k : k + 128]])
     base /= size[chosen, None].astype(np.float32)
-    kernel = np.concatenate([_unpacked(packed[k : k + 128]) @ base.T for k in range(0, len(packed), 128)]) / size[:, None]
+    for k in range(0, len(packed), 128):
+        kernel[k : k + 128] = _unpacked(packed[k : k + 128]) @ base.T
+    kernel /= size[:, None]
     values, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
     good = values > values.max() * 1e-6
     half = vectors[:, good] / np.sqrt(values[good])
     z, target = kernel @ half, np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     w = np.linalg.solve(z.T @ z + ridge * len(z) * np.eye(z.shape[1]), z.T @ target)
-    return names, (base.T @ (half @ w)).astype(np.float32)
+    return names, base.T @ (half @ w).astype(np.float32)
 
 
 def score(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
