@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Elements up to which an array is folded in one go.
+SHORT = 64
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once."""
@@ -16,8 +19,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def prefix(values: Column, op: Callable[[Column, Column], Column], zero: int) -> Column:
     """What op makes of zero and all elements before each one (integers).
 
-    A fold that appends to an array copies it at each step, so blocks of sqrt(n) elements
-    are folded, then the blocks: about n * sqrt(n) elements are copied.
+    A fold that appends to an array copies it at each step, so of more than SHORT elements blocks
+    of sqrt(n) are folded, then the blocks: about n * sqrt(n) elements are copied.
     """
     empty = F.struct(F.lit(zero).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
 
@@ -29,7 +32,7 @@ def prefix(values: Column, op: Callable[[Column, Column], Column], zero: int) ->
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: F.slice(v, b * width + 1, width))
         return let(F.transform(blocks, lambda b: fold(b, lambda x: x)), lambda done: F.flatten(F.zip_with(done, fold(done, lambda d: d["at"])["out"], lambda d, before: F.transform(d["out"], lambda x: op(before, x).cast("int")))))
 
-    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.expr("cast(array() as array<int>)")))
+    return let(values, lambda v: F.when(F.size(v) > SHORT, whole(v)).otherwise(fold(v, lambda x: x)["out"]))
 
 
 def sums_before(values: Column) -> Column:
