@@ -35,6 +35,12 @@ def test_query(spark, name):
     assert got == sorted((tuple(plain(x[at[c]]) for c in names) for x in r.fetchall()), key=repr)
 
 
-def test_numbers_do_not_gather(spark):
-    plan = catalogue.final_sort(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan
+def test_numbers_do_not_gather(spark, monkeypatch):
+    """The rows are stored by ranges of their order (that plan is looked at as it is stored), and stay in as many partitions."""
+    from sievelake.functions import numbering
+
+    plans, cut = [], numbering.cut
+    monkeypatch.setattr(numbering, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    rows = catalogue.final_sort(spark, SF)
+    assert len(plans) == 1 and "rangepartitioning" in plans[0] and "SinglePartition" not in plans[0]
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
