@@ -18,10 +18,10 @@ counts allow, prunes by the waste that a better packing can still afford, and
 completes nodes by best fit for new incumbents. Passes for incumbents go deep along
 fillings of little waste, found exactly by the sums that the pieces can reach (a bit
 for each sum): of the fewest pieces within the waste that a better packing can have,
-then of least waste with the fewest, the longest, or random pieces. The last pass looks
-at all undominated fillings (those whose pieces don't fit into the pieces of
-another), each in full, half and single multiplicity. Rounds of the same search
-then re-pack parts of the incumbent.
+then of least waste with the fewest, the longest, about the average or random pieces.
+The last pass looks at all undominated fillings (those whose pieces don't fit into the
+pieces of another), each in full, half and single multiplicity. Rounds of the same
+search then re-pack parts of the incumbent.
 
 What bounds the effort, never the input: `nodes` (an eighth of them, or two for each
 length, for each pass, half for the last; a tenth of them for the sets tried at one of
@@ -222,10 +222,11 @@ def lower_bound(counts: dict[int, int], cap: int) -> int:
     return best
 
 
-def fillings(first: int, counts: dict[int, int], cap: int, sizes: list[int] | None = None, width: int | None = WIDTH, draw: Random | None = None, few: int = 0) -> list[tuple[int, ...]]:
+def fillings(first: int, counts: dict[int, int], cap: int, sizes: list[int] | None = None, width: int | None = WIDTH, draw: Random | None = None, few: int = 0, level: bool = False) -> list[tuple[int, ...]]:
     """Of each of the `width` least wastes that a bin with `first` can have (of every one if None), one filling.
 
-    It is the one of fewest pieces if up to `few` are enough, else one with the longest pieces, or with pieces drawn at random.
+    It is the one of fewest pieces if up to `few` are enough, else one with the longest pieces, with pieces drawn at random, or (level)
+    with about as many of each length as a bin has on average.
     """
     sizes = sorted(counts) if sizes is None else sizes
     room = cap - first
@@ -242,6 +243,7 @@ def fillings(first: int, counts: dict[int, int], cap: int, sizes: list[int] | No
             sums |= sums << s * k
             n, step = n - k, step * 2
         sums &= mask
+    bins = sum(s * n for s, n in counts.items()) / cap
     layers = [1]  # sums of 0, 1, 2, ... pieces, copies not counted
     for _ in range(few):
         more = 0
@@ -258,7 +260,8 @@ def fillings(first: int, counts: dict[int, int], cap: int, sizes: list[int] | No
             for s, before in zip(reversed(order), reversed(stages)):
                 if not total:
                     break
-                k = next(k for k in range(min(own[s], total // s), -1, -1) if before >> total - k * s & 1)
+                fit = (k for k in range(min(own[s], total // s), -1, -1) if before >> total - k * s & 1)
+                k = min(fit, key=lambda k: abs(k - counts[s] / bins)) if level else next(fit)
                 picked += [s] * k
                 total -= k * s
         out.append(tuple(sorted(picked, reverse=True)))
@@ -375,7 +378,7 @@ def search(counts: dict[int, int], cap: int, best: Plan, nodes: int | None) -> P
         if way == "all":
             return all_fillings(sizes[-1], rest, cap, sizes, nodes and nodes // 10)
         if way != "spare":
-            return fillings(sizes[-1], rest, cap, sizes, WIDTH, way if isinstance(way, Random) else None, FEW if way == "few" else 0)
+            return fillings(sizes[-1], rest, cap, sizes, WIDTH, way if isinstance(way, Random) else None, FEW if way == "few" else 0, way == "level")
         share = ((bins - 1) * cap - total - waste) // max(1, bins - 1 - used)  # the waste that each further bin of a better packing can have
         return sorted(fillings(sizes[-1], rest, cap, sizes, max(WIDTH, min(share, SPARE) + 1), None, FEW), key=lambda x: (cap - sizes[-1] - sum(x) > share, len(x), -sum(x)))
 
@@ -385,8 +388,8 @@ def search(counts: dict[int, int], cap: int, best: Plan, nodes: int | None) -> P
         for more in tried(rest, used, waste, way):
             need = Counter((first, *more))
             most = min(rest[s] // k for s, k in need.items())
-            for times in sorted({most, (most + 1) // 2, 1} if whole else {most}, reverse=True):
-                if times < most:
+            for times in sorted({most, (most + 1) // 2, 1} if whole else {(most + 1) // 2} if way == "level" else {most}, reverse=True):
+                if times < most and whole:
                     later.append((more, need, times))
                 else:
                     yield commit(rest, plan, used, waste, (first, *more), need, times)
@@ -401,7 +404,7 @@ def search(counts: dict[int, int], cap: int, best: Plan, nodes: int | None) -> P
                 del after[s]
         return after, [*plan, (pattern, times)], used + times, waste + times * (cap - sum(pattern))
 
-    for way in ("spare", "few", "long", Random(len(counts)), "all"):
+    for way in ("spare", "few", "long", "level", Random(len(counts)), "all"):
         if not nodes and way != "all":
             continue
         left_nodes = nodes and max(nodes // (2 if way == "all" else 8), 2 * len(counts))  # enough for a whole dive

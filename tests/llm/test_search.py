@@ -69,6 +69,17 @@ def test_large_mixes_reach_the_bound():
         assert total == counts and packing.size_of(plan) == packing.lower_bound(counts, 1024)
 
 
+@pytest.mark.parametrize("counts", [{13: 31_000, 11: 30_000}, {17: 50_000, 19: 40_000, 23: 30_000}, {100: 5000, 150: 3000, 31: 9000, 7: 20_000}, {1023: 5, 1: 5}])
+def test_repeated_lengths_reach_the_bound(counts):
+    """Corpora of copies: few lengths, so that full bins have to use them up in proportion."""
+    plan, total = packing.complete(counts, 1024), dict.fromkeys(counts, 0)
+    for pattern, k in plan:
+        assert sum(pattern) <= 1024
+        for s in pattern:
+            total[s] += k
+    assert total == counts and packing.size_of(plan) == packing.lower_bound(counts, 1024)
+
+
 def test_hot_lengths_and_repeated_rows_are_dealt_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 3)
     rows = [(7, "the same words again and again") for _ in range(400)] + [(k, H.text(k, 30)) for k in range(30)]
