@@ -89,3 +89,24 @@ def test_repeated_rows_and_empty_input(spark, tmp_path):
     assert sorted(((x.doc_id, x.text) for x in near.collect()), key=repr) == sorted([(1, long), (7, other), (None, third), (8, third + " x")], key=repr)
     (tmp_path / "b").mkdir()
     assert P.run(spark, H.write_tables(tmp_path / "b", rows=[], items=[])).count() == 0
+
+
+def test_repeated_ids_with_other_texts(spark, tmp_path):
+    """Rows of one id are judged each by their own text, in every stage, and the run's tables but the last go."""
+    import os
+
+    from sievelake.llm.common import shared_dir
+
+    passage = H.text(900, 30)
+    clean = "the river and the stone of " + H.text(5, 60)
+    other = "that is for the garden " + H.text(6, 60)
+    rows = [(7, f"the letter in the paper {H.text(1, 40)} {passage}"), (7, clean), (7, clean), (None, other), (8, f"in the morning {passage}")]
+    sf = H.write_tables(tmp_path, rows=rows, items=[(1, passage)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = sorted(((x.doc_id, x.text) for x in P.decontamination(spark, docs, sf).collect()), key=repr)
+    assert left == sorted([(7, clean), (7, clean), (None, other)], key=repr)
+    shared = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(shared))
+    assert sorted(map(repr, {x.doc_id for x in P.run(spark, sf).collect()})) == ["7", "None"]
+    new = [x for x in set(os.listdir(shared)) - before if x.startswith("pipeline-")]
+    assert len(new) == 1 and os.listdir(f"{shared}/{new[0]}") == ["4-best_fit_packing"]
