@@ -70,17 +70,25 @@ def as_json(review: Review, repo: str, files: DataFrame | None = None) -> Iterat
     yield "}\n}\n"
 
 
-def as_markdown(review: Review) -> str:
-    """The report's text; files' sections are made in parallel and fetched in order."""
+def markdown_lines(review: Review) -> Iterator[str]:
+    """The report's lines; files' sections are made in parallel and fetched in order."""
     counts = report.summary(review.findings).collect()
     total = sum(r.n for r in counts)
     said = ", ".join(f"{severity.EMOJI[r.severity]} {r.n} {r.severity}" for r in counts)
-    lines = ["# PR Review Report", "", f"**{total} finding(s)** — {said}" if total else "**No findings.**", "", f"_Tiers run: {', '.join(review.tiers)}_", ""]
-    lines += [r.markdown for r in report.markdown_files(review.findings).orderBy("file").toLocalIterator()]
-    entries = [r.entry for r in review.skips.orderBy("entry").toLocalIterator()]
-    if entries:
-        lines += ["## Skipped", "", *("- " + re.sub(r"[\r\n]", " ", e) for e in entries), ""]
-    return "\n".join(lines)
+    yield from ("# PR Review Report", "", f"**{total} finding(s)** — {said}" if total else "**No findings.**", "", f"_Tiers run: {', '.join(review.tiers)}_", "")
+    yield from (r.markdown for r in report.markdown_files(review.findings).orderBy("file").toLocalIterator())
+    first = True
+    for r in review.skips.orderBy("entry").toLocalIterator():
+        if first:
+            yield from ("## Skipped", "")
+        first = False
+        yield "- " + re.sub(r"[\r\n]", " ", r.entry)
+    if not first:
+        yield ""
+
+
+def as_markdown(review: Review) -> str:
+    return "\n".join(markdown_lines(review))
 
 
 CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]")
@@ -142,7 +150,8 @@ def finish(review: Review, folder: str, repo: str, base: str, files: DataFrame |
     try:
         with open(f"{path}.json", "w", encoding="utf-8") as f:
             f.writelines(as_json(review, repo, files))
-        Path(f"{path}.md").write_text(as_markdown(review), encoding="utf-8")
+        with open(f"{path}.md", "w", encoding="utf-8") as f:
+            f.writelines(line + "\n" for line in markdown_lines(review))
         with open(f"{path}.docx", "wb") as f:
             wordfile.write(f, *word_parts(review, repo))
     except BaseException:

@@ -9,6 +9,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelake.functions.storage import cut
 from sievelake.operators import coverage, js_rules, merge, py_rules, report, scope
 from sievelake.sources import analysers, config, linters, models, reports
 from sievelake.sources.schemas import FINDING, FINDING_COLUMNS
@@ -116,6 +117,7 @@ def run(files: DataFrame, mode: str, settings: config.Config, root: str, resume_
     for a in answered:
         entries = entries.unionByName(a.skips)
     out = review(files, mode, linted, [a.findings for a in answered], entries, root, rules)
+    out.findings = cut(out.findings)  # analysers run once, however many reports are written
     out.tiers, out.outcomes, out.reused = tiers, [a.outcomes for a in answered], sum(a.reused for a in answered)
     return out
 
@@ -124,19 +126,18 @@ def audit_files(spark: SparkSession, root: str) -> DataFrame:
     """All files below a folder (or of a git work tree's lists, if git is there), with their contents."""
     from sievelake.sources import git, trees
 
-    files = trees.contents(spark, root)
     try:
-        listed = git.repo_files(spark, root)
+        return trees.read_files(git.repo_files(spark, root), root)
     except (ValueError, OSError):
-        listed = trees.manifest(files.select("path"), files.select("path").limit(0))
-    return trees.read_targets(listed, files)
+        files = trees.contents(spark, root)
+        return trees.read_targets(trees.manifest(files.select("path"), files.select("path").limit(0)), files)
 
 
 def diff_files(spark: SparkSession, repo: str, base: str | None = None, staged: bool = False) -> DataFrame:
     """The files that a change touches, with their contents."""
     from sievelake.sources import git, trees
 
-    return trees.read_targets(git.diff_targets(spark, repo, base, staged), trees.contents(spark, repo))
+    return trees.read_files(git.diff_targets(spark, repo, base, staged), repo)
 
 
 def audit(spark: SparkSession, root: str, **options) -> Review:
