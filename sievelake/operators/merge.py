@@ -42,7 +42,7 @@ def blocks(findings: DataFrame) -> DataFrame:
 
 
 def merge_blocks(rows: pa.Table) -> pa.Table:
-    """The merged findings of whole blocks, without __new and __tier. rows: as blocks() gives them, with __tier and __rank."""
+    """The merged findings of whole blocks, without __new and __tier. rows: as blocks() gives them, with __tier, __rank and __none (whether also_flagged_by, here empty, is null)."""
     starts = rows.column("__new").to_numpy()
     rows = rows.take(np.lexsort((rows.column("ord").to_numpy(), np.cumsum(starts))))
     bounds = np.append(np.flatnonzero(starts), len(rows))
@@ -93,8 +93,9 @@ def merge_blocks(rows: pa.Table) -> pa.Table:
         at = list(others)
         met = sorted({k for x in others.values() for k in x})
         label = dict(zip(met, (f"{a}:{b}" for a, b in zip(source.take(pa.array(met)).to_pylist(), check.take(pa.array(met)).to_pylist()))))
-        also = [[*(own or []), *(label[x] for x in others[k])] for k, own in zip(at, out.column("also_flagged_by").take(pa.array(at)).to_pylist())]
+        also = [[*own, *(label[x] for x in others[k])] for k, own in zip(at, out.column("also_flagged_by").take(pa.array(at)).to_pylist())]
         replaced["also_flagged_by"] = _put(out.column("also_flagged_by"), at, also)
+        replaced["__none"] = _put(out.column("__none"), at, [False] * len(at))
         if "raw" in out.column_names:
             raw = [json.dumps(_object(x) | {"also_flagged_by": y}, ensure_ascii=False, separators=(",", ":")) for x, y in zip(out.column("raw").take(pa.array(at)).to_pylist(), also)]
             replaced["raw"] = _put(out.column("raw"), at, raw)
@@ -123,10 +124,12 @@ def merged(findings: DataFrame) -> DataFrame:
     rows = findings.withColumn("also_flagged_by", F.coalesce(have, raw))
     columns = rows.columns
     rows = blocks(rows).withColumns({"__tier": severity.tier_priority(F.col("tier")), "__rank": severity.rank(F.col("severity"))})
+    # on its way to Python, a null list costs as much as all nulls before it in its batch, so these go as empty ones
+    rows = rows.withColumns({"__none": F.col("also_flagged_by").isNull(), "also_flagged_by": F.coalesce("also_flagged_by", F.expr("cast(array() as array<string>)"))})
     # the window has sorted them so already
     rows = rows.sortWithinPartitions("file", "line_start", "ord")
     out = rows.mapInArrow(_merge_sorted, rows.drop("__new", "__tier").schema)
-    return out.withColumn("severity", F.when(F.col("__rank") >= 0, severity.of_rank(F.col("__rank"))).otherwise(F.col("severity"))).select(*columns)
+    return out.withColumn("severity", F.when(F.col("__rank") >= 0, severity.of_rank(F.col("__rank"))).otherwise(F.col("severity"))).withColumn("also_flagged_by", F.when(~F.col("__none"), F.col("also_flagged_by"))).select(*columns)
 
 
 def _merge_sorted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
