@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import severity
@@ -31,6 +31,23 @@ def by_file(findings: DataFrame) -> DataFrame:
     return findings.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("check_id").alias("n_checks"), severity.of_rank(F.max(rank)).alias("worst"))
 
 
+def rollup(findings: DataFrame) -> DataFrame:
+    """source, severity, n, n_files, level: counts by source and severity with subtotals, level being the grouping id.
+
+    Rows are shuffled once, by file; there a file is counted for each pair, source and total that it is the
+    first row of, so that all that goes on is a row for each source and severity.
+    """
+    each = findings.repartition("file").groupBy("file", "source", "severity").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("file").orderBy("source", "severity")
+    known, first = F.col("file").isNotNull(), F.row_number().over(order) == 1
+    fresh = first | ~F.lag("source").over(order).eqNullSafe(F.col("source"))
+    marks = {"__0": known, "__1": known & fresh, "__3": known & first}
+    small = each.select("source", "severity", "n", *[v.cast("bigint").alias(k) for k, v in marks.items()]).groupBy("source", "severity").agg(*[F.sum(x).alias(x) for x in ("n", *marks)])
+    level = F.grouping_id().cast("bigint").alias("level")
+    out = small.rollup("source", "severity").agg(*[F.sum(x).alias(x) for x in ("n", *marks)], level)
+    return out.select("source", "severity", "n", F.when(F.col("level") == 0, F.col("__0")).when(F.col("level") == 1, F.col("__1")).otherwise(F.col("__3")).alias("n_files"), "level")
+
+
 def totals(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count("*").alias("n_findings"), F.count_distinct("file").alias("n_files"))
 

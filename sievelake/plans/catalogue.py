@@ -420,7 +420,7 @@ def model_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rollup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: counts by source and severity with subtotals."""
-    return C.findings(spark, sf_dir).rollup("source", "severity").agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_files"), F.grouping_id().cast("bigint").alias("level"))
+    return report.rollup(C.findings(spark, sf_dir))
 
 
 def nearby_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
