@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import jsonx, retry, severity, similarity, text
 from sievelake.functions.numbering import numbered
-from sievelake.functions.storage import shared_dir
+from sievelake.functions.storage import cut, shared_dir
 from sievelake.operators import coverage, js_rules, merge, placement, py_rules, report, resume, scope
 from sievelake.plans import carriers as C
 from sievelake.plans import render
@@ -356,7 +356,8 @@ def model_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = F.concat(F.lit('{"content": [{"type": "text"}, {"type": "tool_use", "name": "report_findings", "input": '), found, F.lit("}]}"))
     made = e.select("event_id", (c("event_id") % 4).alias("way"), F.when(c("event_id") % 4 == 0, chat).when(c("event_id") % 4 == 1, content).when(c("event_id") % 4 == 2, blocks).otherwise(c("props")).alias("response"),
                     F.concat(F.lit("e"), c("event_id").cast("string")).alias("path"), c("event_id").alias("file_ord"), F.lit(None).cast("array<int>").alias("changed_lines"))
-    rows = responses.parsed(made.where("way <> 2"), "chat").unionByName(responses.parsed(made.where("way = 2"), "blocks"))
+    # stored, as a model tier stores them: findings are sorted and numbered, and what was skipped is read again
+    rows = cut(responses.parsed(made.where("way <> 2"), "chat").unionByName(responses.parsed(made.where("way = 2"), "blocks")).drop("response"))
     found = responses.findings(rows, "cloud_llm", "cloud", "CLOUD").select("file", "severity", "title", "line_start", "line_end", F.lit(None).cast("string").alias("reason"))
     return found.unionByName(responses.skips(rows, "cloud_llm").select(c("path").alias("file"), *[F.lit(None).cast(t).alias(n) for n, t in (("severity", "string"), ("title", "string"), ("line_start", "int"), ("line_end", "int"))], "reason"))
 
