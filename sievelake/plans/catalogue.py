@@ -141,7 +141,8 @@ def _hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hunks(spark, sf_dir).select("o", diffs.changed_lines(c("body")).alias("lines")).where(F.size("lines") > 0)
+    # as a generator, so that lines are counted once and not again in a filter
+    return _hunks(spark, sf_dir).select("o", F.explode(F.filter(F.array(diffs.changed_lines(c("body"))), lambda x: F.size(x) > 0)).alias("lines"))
 
 
 def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from sievelake.functions.arrays import let, most_before, sums_before
-from sievelake.functions.text import LINE_ENDS, split_lines, strip_side, unquoted
+from sievelake.functions.arrays import let
+from sievelake.functions.text import LINE_ENDS, strip_side, unquoted
 
 #: The forms of a file header (each side may be quoted on its own) and of a hunk header.
 QUOTED = r'"(?:[^"\\]|\\.)*"'
 HEADER = "^diff --git (?:" + "|".join(f"({old}) ({new})" for old, new in ((QUOTED, QUOTED), (QUOTED, "b/.+"), ("a/.+?", QUOTED), ("a/.+?", "b/.+"))) + ")$"
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+HUNK_START = re.compile(HUNK, re.ASCII)
+#: Fixed value: the highest line number; a header of a higher one is none.
+MOST = 2**31 - 1
 
 
 def blocks(diffs: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,28 +43,35 @@ def item_status(renamed: Column, new: Column, deleted: Column) -> Column:
     return F.when(renamed, "renamed").when(new, "added").when(deleted, "deleted").otherwise("modified")
 
 
-def changed_lines(block: Column) -> Column:
+def touched(block: str | None) -> list[int]:
     """The new file's line numbers that a block of a diff touches, sorted.
 
     A removed line stands for the line that follows it; lines before the first
-    hunk, and in a hunk that starts at 0, count for nothing. All of it is array
-    expressions over the block's own lines, so nothing is exploded or shuffled.
+    hunk, and in a hunk that starts at 0, count for nothing.
     """
-    plus = lambda x: x.startswith("+") & ~x.startswith("+++")
-    minus = lambda x: x.startswith("-") & ~x.startswith("---")
+    if block is None or "@@ -" not in block:
+        return []
+    found, at = set(), 0
+    for line in block.splitlines():
+        first = line[:1]
+        if first == "@" and (m := HUNK_START.match(line)) and (start := int(m[1])) <= MOST:
+            at = start
+        elif at:
+            minus = first == "-" and not line.startswith("---")
+            if minus or first == "+" and not line.startswith("+++"):
+                found.add(at)
+            at += not minus
+    return sorted(found)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _changed_lines(block: pa.Array) -> pa.Array:
+    return pa.array([touched(x) for x in block.to_pylist()], pa.list_(pa.int32()))
 
-    def marked(line: Column, k: Column) -> Column:
-        start = F.when(line.rlike(HUNK), F.regexp_extract(line, HUNK, 1).try_cast("int"))
-        return F.struct(start.alias("start"), F.when(start.isNotNull(), k).otherwise(-1).alias("header"), (start.isNull() & (plus(line) | minus(line))).alias("touched"), F.when(start.isNotNull() | minus(line), 0).otherwise(1).alias("moves"))
 
-    def numbered(rows: Column) -> Column:
-        # `before`: lines of the new file since the block's beginning; `hunk`: the last header
-        both = F.arrays_zip(rows.alias("row"), sums_before(F.transform(rows, lambda x: x["moves"])).alias("before"), most_before(F.transform(rows, lambda x: x["header"])).alias("hunk"))
-        return let(both, lambda all_: F.transform(F.filter(all_, lambda x: x["row"]["touched"] & (x["hunk"] >= 0)), lambda x: let(F.get(all_, x["hunk"]), lambda h: F.when(h["row"]["start"] > 0, h["row"]["start"] + x["before"] - h["before"]))))
-
-    lines = let(F.transform(split_lines(block), marked), numbered)
-    found = F.array_sort(F.array_distinct(F.filter(lines, lambda x: x.isNotNull())))
-    return F.when(F.coalesce(block.contains("@@ -"), F.lit(False)), found).otherwise(F.expr("cast(array() as array<int>)"))
+def changed_lines(block: Column) -> Column:
+    """touched() of a column, in Arrow batches: a pass over the block's own lines, so nothing is exploded or shuffled."""
+    return _changed_lines(block)
 
 
 def line_numbers(parts: DataFrame, keys: list[str], text: str) -> DataFrame:
